@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from archivist.llm.common import table
 
 #: Distinct words and token pairs that a worker remembers; when full, a memory starts anew.
-MEMORY = 250_000
+MEMORY = 1_000_000
 SPACE = "▁"
 
 
@@ -39,10 +39,12 @@ class PrefixCounter:
         plain = [p for i, p in names if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
         if any(SPACE in p.lstrip(SPACE) for p in plain) or any("\n" in p for p in plain):
             raise ValueError("a piece of this model crosses words")
-        self.pieces = {p: self.of(p) == [p] for p in plain}  # False: no text is encoded so
+        self.pieces = {p for p in plain if self.of(p) == [p]}  # no text is encoded with the others
+        self.bigrams = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         self.longest = max(map(len, plain))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[bytes, int]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def of(self, s: str) -> list[str]:
         """The pieces of s as it stands inside a text. A line feed is a token of its own."""
@@ -51,56 +53,80 @@ class PrefixCounter:
     def compatible(self, before: str, after: str) -> bool:
         found = self.pairs.get((before, after))
         if found is None:
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
             found = self.pairs[before, after] = self.of(before + after) == [before, after]
         return found
 
-    def deltas(self, word: str) -> tuple[bytes, int]:
-        """The changes of the count at each character of a word, and its tokens."""
-        pieces, longest, compatible = self.pieces, self.longest, self.compatible
+    def cut(self, word: str) -> list[str]:
+        """The word cut where no piece of the vocabulary holds the two characters in a row."""
+        bigrams = self.bigrams
+        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in bigrams]
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
+
+    def learn(self, words: set[str]) -> None:
+        """Run the recurrence over the parts of new words, in sorted order: a part takes over the states of
+        the prefix that it shares with the one before it."""
+        if len(self.words) + len(words) > MEMORY:
+            self.words.clear()
+        cut = {w: self.cut(w) for w in words}
+        new = sorted({p for parts in cut.values() for p in parts} - self.parts.keys())
+        if len(self.parts) + len(new) > MEMORY:
+            self.parts.clear()
+            new = sorted({p for parts in cut.values() for p in parts})
+        pieces, longest, pairs, whole = self.pieces, self.longest, self.pairs, self.model.encode(["\n" + p.replace(SPACE, " ") for p in new], num_threads=1)
         last: list[str] = [""]  # "": nothing that the next piece could have merged with
-        count = [0]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = word[j:i]
-                if pieces.get(t) and (not last[j] or compatible(last[j], t)):
-                    last.append(t)
-                    count.append(count[j] + 1)
-                    break
+        count, before = [0], ""
+        for part, ids in zip(new, whole, strict=True):
+            k, n = 0, min(len(part), len(before))
+            while k < n and part[k] == before[k]:
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            before = part
+            for i in range(k + 1, len(part) + 1):
+                for j in range(i - longest if i > longest else 0, i):
+                    t = part[j:i]
+                    if t in pieces:
+                        p = last[j]
+                        if not p or (pairs[p, t] if (p, t) in pairs else self.compatible(p, t)):
+                            last.append(t)
+                            count.append(count[j] + 1)
+                            break
+                else:
+                    last.append("")
+                    count.append(count[-1] + len(part[i - 1].encode("utf-8", "replace")))
+            right = count if count[-1] == len(ids) - 2 else [0, *(len(self.of(part[:i])) for i in range(1, len(part) + 1))]
+            self.parts[part] = bytes([y - x & 255 for x, y in zip(right, right[1:], strict=False)])
+        get = self.parts.__getitem__
+        self.words.update((w, b"".join(map(get, parts))) for w, parts in cut.items())
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """For each text the changes of the count at each character; they sum up to the count of the whole."""
+        split = []
+        for t in texts:
+            parts = t.replace(SPACE, " ").split(" ")  # the model holds the two for the same
+            if "" in parts:
+                words, run = [], SPACE  # a text is encoded with a space before it
+                for p in parts:
+                    if p:
+                        words.append(run + p)
+                        run = SPACE
+                    else:
+                        run += SPACE
+                if not parts[-1]:
+                    words.append(run[:-1])
+                split.append(words if t else [])
             else:
-                last.append("")
-                count.append(count[-1] + len(word[i - 1].encode("utf-8", "replace")))
-        if count[-1] != len(self.of(word)):  # not met so far; then each prefix is encoded
-            count = [0, *(len(self.of(word[:i])) for i in range(1, len(word) + 1))]
-        return np.diff(count).astype(np.int8).tobytes(), count[-1]
-
-    def text(self, text: str) -> tuple[bytes, int]:
-        """The changes of the count at each character of a text, and the count of the whole."""
-        if not text:
-            return b"", 0
-        parts = text.replace(SPACE, " ").split(" ")  # the model holds the two for the same
-        words, run = [], SPACE  # a text is encoded with a space before it
-        for p in parts:
-            if p:
-                words.append(run + p)
-                run = SPACE
-            else:
-                run += SPACE
-        if not parts[-1]:
-            words.append(run[:-1])
-        found, n = [], 0
-        for w in words:
-            got = self.words.get(w)
-            if got is None:
-                if len(self.words) >= MEMORY:
-                    self.words.clear()
-                got = self.words[w] = self.deltas(w)
-            found.append(got[0])
-            n += got[1]
-        changes = b"".join(found)
-        first = np.frombuffer(changes[:2], np.int8).sum() if len(changes) > 1 else 0
-        return np.int8(first).tobytes() + changes[2:], n  # the space before it is no character of the text
+                split.append((SPACE + t.replace(SPACE, " ").replace(" ", " " + SPACE)).split(" "))
+        seen = set().union(*split)
+        if new := seen - self.words.keys():
+            self.learn(seen if len(self.words) + len(new) > MEMORY else new)
+        get, out = self.words.__getitem__, []
+        for words in split:
+            changes = b"".join(map(get, words))
+            first = sum(np.frombuffer(changes[:2], np.int8).tolist())
+            out.append(np.int8(first).tobytes() + changes[2:] if changes else b"")  # the space before it is no character of the text
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -122,11 +148,9 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model)
         for b in batches:
-            got = [c.text(t) for t in b.column(1).to_pylist()]
-            n = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d, _ in got]
-            if n != [k for _, k in got]:
-                raise ValueError("the stored changes don't add up")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([d for d, _ in got], pa.binary())], names=["id", "n_bytes", "n_tokens", "prefix_changes"])
+            got = c.texts(b.column(1).to_pylist())
+            n = [tokens_of_prefix(d, len(d)) for d in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(got, pa.binary())], names=["id", "n_bytes", "n_tokens", "prefix_changes"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -12,8 +12,7 @@ def test_every_prefix_is_exact():
     c, rnd = PrefixCounter(default_model()), random.Random(1)
     texts = TEXTS + ["".join(rnd.choices(" \nabehinorst.,é日", k=40)) for _ in range(60)]
     for t in texts:
-        changes, n = c.text(t)
-        assert n == len(model.encode(t))
+        changes = c.texts([t])[0]
         assert len(changes) == len(t)
         for i in range(len(t) + 1):
             assert tokens_of_prefix(changes, i) == len(model.encode(t[:i])), (t, i)
@@ -21,8 +20,8 @@ def test_every_prefix_is_exact():
 
 def test_budget():
     c = PrefixCounter(default_model())
-    changes, n = c.text("one two three four five")
-    assert longest_prefix(changes, n) == len("one two three four five")
+    changes = c.texts(["one two three four five"])[0]
+    assert longest_prefix(changes, tokens_of_prefix(changes, 99)) == len("one two three four five")
     assert longest_prefix(changes, 2) == len("one two")
     assert longest_prefix(changes, 0) == 0
 
