@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from archivist.llm import packing, records, token_counts, toxicity
+from archivist.llm import packing, records, token_counts, toxicity, vector_dedup
 
-MODULES = [records, packing, toxicity, token_counts]
+MODULES = [records, packing, vector_dedup, toxicity, token_counts]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
