@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from archivist.llm import ngram_join, packing, passage_dedup, records, token_counts, toxicity, vector_dedup
+from archivist.llm import fingerprints, mixing, ngram_join, packing, passage_dedup, pseudo_likelihood, records, token_counts, toxicity, vector_dedup
 
-MODULES = [records, packing, vector_dedup, toxicity, token_counts, ngram_join, passage_dedup]
+MODULES = [records, pseudo_likelihood, packing, fingerprints, mixing, vector_dedup, toxicity, passage_dedup, token_counts, ngram_join]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
