@@ -1,4 +1,7 @@
-"""The registered queries and their SQL equivalents."""
+"""The registered queries and their SQL equivalents, family by family."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from archivist.plans import catalog_queries, search_queries, state_queries
+
+MODULES = [catalog_queries, state_queries, search_queries]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
