@@ -7,10 +7,10 @@ lists are merged: a partner has to occur there at least once. How long a list is
 documents, kept in a table of CELLS counters; any total order gives the same result. Merging is Spark's
 sort by shingle. A shared shingle makes a candidate only if enough shingles can follow it in both orders.
 
-The result is which classes hang together, so candidates come in two steps: each list first
-pairs its members with its first and its preceding one, which joins a group of near copies with
-few pairs; then every list whose members still lie in several components gives all its
-pairs across them. Each pair is counted exactly on the whole sets. No list is capped or skipped.
+The result is which classes hang together, so candidates come in three steps: each list first
+pairs its members with the preceding one, then, where they still lie in several components, with
+the one that has most links, which joins a group of near copies with few pairs; at last every list whose
+members lie in several components gives all its pairs across them. Each pair is counted exactly on the whole sets. No list is capped or skipped.
 
 Nulls and texts without words have an empty set and link with nothing; equal texts are one
 class. Rows without an id are left alone: they link with nothing. Repeated ids count as one row each, linked as their
@@ -137,18 +137,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = _postings(texts.filter("id is not null"), counts, words, percent)
     place = F.struct("cls", "n", "pos")
-    lists = seen.select("*", F.lag(place).over(w).alias("before"), F.first(place).over(whole).alias("first"), F.last("cls").over(whole).alias("_last"))
-    lists = stored(lists.filter(F.col("first.cls") != F.col("_last")).filter("before is null or before.cls <> cls").drop("_last"))
+    lists = seen.select("*", F.lag(place).over(w).alias("before"), F.first("cls").over(whole).alias("_first"), F.last("cls").over(whole).alias("_last"))
+    lists = stored(lists.filter("_first <> _last").filter("before is null or before.cls <> cls").drop("_first", "_last"))
 
     def oriented(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    near = None
-    for other in ("first", "before"):
-        p = lists.select("cls", "n", "pos", F.col(f"{other}.cls").alias("c2"), F.col(f"{other}.n").alias("n2"), F.col(f"{other}.pos").alias("p2"))
-        p = p.filter(F.col("cls") != F.col("c2")).filter(_fits("n", "pos", "n2", "p2", percent)).select(F.col("cls").alias("a"), F.col("c2").alias("b"))
-        near = p if near is None else near.unionByName(p)
-    tried = stored(oriented(near))
+    def met(rows: DataFrame, other: str) -> DataFrame:
+        """Distinct pairs of a list's members with another of its members."""
+        p = rows.select("cls", "n", "pos", F.col(f"{other}.cls").alias("c2"), F.col(f"{other}.n").alias("n2"), F.col(f"{other}.pos").alias("p2"))
+        return oriented(p.filter(F.col("cls") != F.col("c2")).filter(_fits("n", "pos", "n2", "p2", percent)).select(F.col("cls").alias("a"), F.col("c2").alias("b")))
+
+    tried = stored(met(lists, "before"))
 
     # the whole sets of the classes that share a list, computed once
     wanted = lists.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
@@ -161,10 +161,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = stored(texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(build, "cls long, s binary").dropDuplicates(["cls"]))
     links = stored(_verify(tried, sets, percent))
 
-    groups = stored(components(links))
-    at = lists.select("h", "cls", "n", "pos").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    several = at.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("h")
-    at = stored(at.join(several, "h", "left_semi"))
+    def apart(links_: DataFrame, rows: DataFrame) -> DataFrame:
+        """The members of lists that still lie in several components, with theirs."""
+        groups = components(links_).withColumnRenamed("id", "cls")
+        found = rows.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        several = found.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("h")
+        return stored(found.join(several, "h", "left_semi"))
+
+    # the member with most links so far is what a group was copied from, if anything is
+    at = apart(links, lists.select("h", "cls", "n", "pos"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+    known_degree = at.join(degree, "cls", "left")
+    hub = known_degree.groupBy("h").agg(F.max_by(F.struct("cls", "n", "pos", "component"), F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "cls")).alias("hub"))
+    second = stored(met(at.join(hub, "h").filter("component <> hub.component"), "hub").join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionByName(second)
+    links = links.unionByName(stored(_verify(second, sets, percent)))
+
+    at = apart(links, at.select("h", "cls", "n", "pos"))
     left, right = at, at.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("m2"))
     across = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_fits("n", "pos", "n2", "p2", percent))
     rest = oriented(across.select(F.col("cls").alias("a"), F.col("c2").alias("b"))).join(tried, ["a", "b"], "left_anti")
