@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document holds, with suffix arrays over shards of the corpus.
 
-Any 50 bytes hold an anchor: the place of the smallest hash of 20 bytes in them. Equal strings of 50
+Any 50 bytes hold an anchor: the place of the smallest hash of 26 bytes in them. Equal strings of 50
 bytes have equal anchors, so anchors bring together all places where a repeat can be:
 
 1. Each text gives its anchors, with a hash of the context that holds all 50-byte strings of the anchor.
@@ -33,7 +33,7 @@ from archivist.llm.common import partitions, stored, table
 from archivist.llm.shingles import chunks, mix, powers
 from archivist.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
-LENGTH, GRAM, SHARDS = 50, 20, 8
+LENGTH, GRAM, SHARDS = 50, 26, 8
 _BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
 
 
