@@ -114,19 +114,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         group = np.cumsum(new_a) - 1
         contexts = np.bincount(group, weights=new_c)[group]
         removed = i > first
-        asked = ~removed & (contexts > 1)
+        bounds = np.flatnonzero(new_a)
+        several = (np.minimum.reduceat(i, bounds) < np.maximum.reduceat(i, bounds))[group]  # else no document is earlier
+        asked = ~removed & (contexts > 1) & several
+        lead = (new_c | np.r_[True, t[1:] != t[:-1]]).astype(np.uint8)  # the others are further places of the same context
         out = []
         for on, kind in ((removed, -1), (asked, p["bucket"].iloc[0])):
             shard = kind * SHARDS + (a[on] % SHARDS).astype(np.int64) if kind >= 0 else np.full(int(on.sum()), -1)
-            out.append(_pack(pd.DataFrame({"id": i[on], "t": t[on], "shard": shard, "p": place[on]}), ["id", "t", "shard"], ["p"]))
+            out.append(_pack(pd.DataFrame({"id": i[on], "t": t[on], "shard": shard, "p": place[on], "lead": lead[on]}), ["id", "t", "shard"], ["p", "lead"]))
         return pd.concat(out)
 
     shape = "bucket long, a binary, c binary, id long, t long, p binary"
     packed = texts.filter("id is not null").select("id", "t", "text").mapInArrow(find, shape.replace("id long, t long", "id binary, t binary"))
-    found = stored(packed.groupBy("bucket").applyInPandas(judge, "id long, t long, shard long, p binary"))
+    found = stored(packed.groupBy("bucket").applyInPandas(judge, "id long, t long, shard long, p binary, lead binary"))
 
     base = texts.repartition(partitions(spark), "id", "t")
-    asked = found.filter("shard >= 0").groupBy("id", "t").agg(F.collect_list(F.struct("shard", "p")).alias("asked"))  # a document's own anchors
+    asked = found.filter("shard >= 0").groupBy("id", "t").agg(F.collect_list(F.struct("shard", "p", "lead")).alias("asked"))  # a document's own anchors
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,15 +137,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             for i, t, text, asked in zip(b["id"], b["t"], b["text"], b["asked"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for s in asked:
-                    for p in np.frombuffer(s["p"], np.uint32).tolist():
-                        low = max(0, p - width + 1)
-                        rows.append((s["shard"], i, t, low, raw[low : p + length]))
-            yield pd.DataFrame(rows, columns=["shard", "id", "t", "low", "raw"])
+                    p = np.frombuffer(s["p"], np.uint32).astype(np.int64)
+                    for g in np.split(p, np.flatnonzero(np.frombuffer(s["lead"], np.uint8))[1:]):
+                        lows = np.maximum(0, g - width + 1)
+                        rows.append((s["shard"], i, t, lows.tobytes(), raw[lows[0] : g[0] + length]))
+            yield pd.DataFrame(rows, columns=["shard", "id", "t", "lows", "raw"])
 
-    contexts = base.join(asked.hint("shuffle_hash"), ["id", "t"]).mapInPandas(cut, "shard long, id long, t long, low long, raw binary")
+    contexts = base.join(asked.hint("shuffle_hash"), ["id", "t"]).mapInPandas(cut, "shard long, id long, t long, lows binary, raw binary")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        ids, t, low = p["id"].to_numpy(), p["t"].to_numpy(), p["low"].to_numpy()
+        ids, t, lows = p["id"].to_numpy(), p["t"].to_numpy(), [np.frombuffer(x, np.int64) for x in p["lows"]]
         size = np.array([len(r) for r in p["raw"]], np.int64)
         data = np.frombuffer(b"\xff".join(p["raw"]) + b"\xff", np.uint8)  # a byte that UTF-8 doesn't have
         start = np.cumsum(size + 1) - size - 1
@@ -156,8 +160,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         least = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids[row[sa]])
         gone = sa[least[group] < ids[row[sa]]]
-        k = row[gone]
-        return _pack(pd.DataFrame({"id": ids[k], "t": t[k], "p": (low[k] + inside[gone]).astype(np.uint32)}), ["id", "t"], ["p"])
+        many = np.array([len(x) for x in lows])
+        first = np.cumsum(many) - many
+        k = np.repeat(row[gone], many[row[gone]])
+        nth = np.arange(len(k)) - np.repeat(np.cumsum(many[row[gone]]) - many[row[gone]], many[row[gone]])
+        at = np.concatenate(lows)[first[k] + nth] + np.repeat(inside[gone], many[row[gone]])
+        return _pack(pd.DataFrame({"id": ids[k], "t": t[k], "p": at.astype(np.uint32)}), ["id", "t"], ["p"])
 
     exact = contexts.groupBy("shard").applyInPandas(compare, "id long, t long, p binary")
     gone = found.filter("shard < 0").select("id", "t", "p", F.lit(True).alias("whole")).unionByName(exact.withColumn("whole", F.lit(False)))
