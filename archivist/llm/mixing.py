@@ -10,7 +10,7 @@ reaches the driver.
 Targets are shares of a total that, unless given, is the least at which no domain has to shrink. Nulls count as
 empty texts and have no tokens. Repeated rows count each for itself. An empty table gives an
 empty result; a domain without tokens is left out. Classifiers are fitted on a bounded sample
-(toxicity.SAMPLE labelled ids); all else covers all documents.
+(SAMPLE labelled ids); all else covers all documents.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ from archivist.llm.toxicity import fit, labelled_sample, with_scores
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 STEPS, CLOSE = 25, 1e-3
+#: Labelled ids that the classifiers are fitted on, at most.
+SAMPLE = 5000
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, good, poor, toxic): tokens are words; the posteriors add up to 1."""
-    sample = labelled_sample(docs, labels, ["toxic", "quality"], id_col, text_col)
+    sample = labelled_sample(docs, labels, ["toxic", "quality"], id_col, text_col, SAMPLE)
     models = {"_t": fit(sample, "toxic"), "_q": fit(sample.filter("toxic = 0"), "quality")}
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = F.regexp_count("text", F.lit(r"[^\s]+")).cast("long")

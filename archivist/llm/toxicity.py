@@ -138,8 +138,9 @@ def fit(sample: DataFrame, label: str) -> Model:
     data.sort(key=lambda d: (d["y"], d["f"]))
     y = np.array([d["y"] for d in data], float)
     bucket = [np.frombuffer(d["f"], np.int32) for d in data]
-    row = np.repeat(np.arange(len(data)), [len(b) for b in bucket])
-    column = np.searchsorted(chosen, np.concatenate(bucket)) if bucket else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(data), dtype=np.int32), [len(b) for b in bucket])
+    column = np.searchsorted(chosen, np.concatenate(bucket)).astype(np.int32) if bucket else np.empty(0, np.int32)
+    del data, bucket
     x = np.clip(r[chosen], -8, 8)
     scale = 1 / max(1.0, float(np.sqrt(np.bincount(row, weights=x[column] ** 2, minlength=len(y)).mean())))
     w, b = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean())))
