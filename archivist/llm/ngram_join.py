@@ -8,9 +8,10 @@ documents, kept in a table of CELLS counters; any total order gives the same res
 sort by shingle. A shared shingle makes a candidate only if enough shingles can follow it in both orders.
 
 The result is which classes hang together, so candidates come in three steps: each list first
-pairs its members with the preceding one, then, where they still lie in several components, with
-the one that has most links, which joins a group of near copies with few pairs; at last every list whose
-members lie in several components gives all its pairs across them. Each pair is counted exactly on the whole sets. No list is capped or skipped.
+pairs its members with the preceding one, then, while they still lie in several components, with
+one hub after another, which joins a group of near copies with few pairs; at last every list whose
+members lie in several components gives all its pairs across them, but for those whose
+parity bits differ in too many places. Each pair is counted exactly on the whole sets. No list is capped or skipped.
 
 Nulls and texts without words have an empty set and link with nothing; equal texts are one
 class. Rows without an id are left alone: they link with nothing. Repeated ids count as one row each, linked as their
@@ -33,6 +34,9 @@ from archivist.llm.components import components
 from archivist.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT, CELLS = 5, 75, 1 << 20
+#: Turns in which lists that lie in several components pair their members with one hub, before they give all their pairs.
+HUBS = 2
+BITS = [f"b{k}" for k in range(8)]
 _STEP = 1 << 13
 
 
@@ -46,6 +50,18 @@ def _class(s: np.ndarray) -> int:
         return int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15) * mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """How often each of 512 hash values occurs in a set, modulo two. Sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((s >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(na: str, nb: str, percent: int) -> F.Column:
+    """Whether bits `BITS` and those marked 2 differ in no more places than similar sets may."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in BITS), F.lit(0))
+    return differ * (100 + percent) <= (F.col(na) + F.col(nb)).cast("long") * (100 - percent)
+
+
 def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(id, n, cls) of each document, and the counters of all shingles."""
 
@@ -156,32 +172,44 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_bytes(b, 1), words)
-            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "s"])
+            bits = np.array([_parities(s) for s in sets], np.int64).reshape(-1, len(BITS))
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, bits.T.copy())], names=["cls", "s", *BITS])
 
-    sets = stored(texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(build, "cls long, s binary").dropDuplicates(["cls"]))
+    sets = stored(texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(build, "cls long, s binary, " + ", ".join(f"{x} long" for x in BITS)).dropDuplicates(["cls"]))
     links = stored(_verify(tried, sets, percent))
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+
+    def grouped(known: DataFrame, new: DataFrame) -> DataFrame:
+        """Components once new links join them; what is known goes in as stars, which settle fast."""
+        return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)).withColumnRenamed("id", "cls")
 
-    def apart(links_: DataFrame, rows: DataFrame) -> DataFrame:
+    def apart(groups: DataFrame, rows: DataFrame) -> DataFrame:
         """The members of lists that still lie in several components, with theirs."""
-        groups = components(links_).withColumnRenamed("id", "cls")
-        found = rows.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        found = rows.select("h", "cls", "n", "pos").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         several = found.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("h")
         return stored(found.join(several, "h", "left_semi"))
 
-    # the member with most links so far is what a group was copied from, if anything is
-    at = apart(links, lists.select("h", "cls", "n", "pos"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-    known_degree = at.join(degree, "cls", "left")
-    hub = known_degree.groupBy("h").agg(F.max_by(F.struct("cls", "n", "pos", "component"), F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "cls")).alias("hub"))
-    second = stored(met(at.join(hub, "h").filter("component <> hub.component"), "hub").join(tried, ["a", "b"], "left_anti"))
-    tried = tried.unionByName(second)
-    links = links.unionByName(stored(_verify(second, sets, percent)))
-
-    at = apart(links, at.select("h", "cls", "n", "pos"))
-    left, right = at, at.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("m2"))
-    across = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_fits("n", "pos", "n2", "p2", percent))
+    # Linked classes share nearly all their lists, so whatever a hub joins spares the last step most of its rows. The member with
+    # most links is what a group was copied from, if anything is. Then members of smaller components meet a hub of the largest
+    # one, chosen anew for each list, as a class on the rim of a group links with some of it only.
+    groups = grouped(links.select(F.col("a").alias("id"), F.col("b").alias("component")), links)
+    at = lists
+    for turn in range(HUBS):
+        at = apart(groups, at)
+        by = F.coalesce("degree", F.lit(0)) if turn == 0 else F.xxhash64("h", "cls", F.lit(turn))
+        each = at.join(degree, "cls", "left").groupBy("h", "component").agg(F.count("*").alias("size"), F.max(F.struct(by.alias("by"), "cls", "n", "pos")).alias("hub"))
+        hub = each.groupBy("h").agg(F.max(F.struct(F.col("hub.by") if turn == 0 else F.col("size"), "hub", "component")).alias("first"))
+        others = at.join(hub, "h").filter("component <> first.component").withColumn("hub", F.col("first.hub"))
+        pairs = stored(met(others, "hub").join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        groups = grouped(groups.withColumnRenamed("cls", "id"), stored(_verify(pairs, sets, percent)))
+
+    at = apart(groups, at)
+    left = at.join(sets.select("cls", *BITS), "cls")
+    right = left.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("m2"), *(F.col(x).alias(f"{x}_2") for x in BITS))
+    across = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_fits("n", "pos", "n2", "p2", percent)).filter(_near("n", "n2", percent))
     rest = oriented(across.select(F.col("cls").alias("a"), F.col("c2").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_verify(rest, sets, percent)))
+    links = groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionByName(stored(_verify(rest, sets, percent)))
 
     rep = classes.select("cls", "rep")
     by_id = links.join(rep.withColumnsRenamed({"cls": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"cls": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
