@@ -147,7 +147,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows, counts = _sets(texts, words)
     known = all_rows.filter("id is not null and n > 0")
-    classes = stored(known.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    each_id = known.groupBy("cls", "id").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    first = F.min(F.struct("id", "copies", "n"))
+    classes = stored(each_id.groupBy("cls").agg(first.alias("f")).select("cls", F.col("f.id").alias("rep"), "f.copies", "f.n"))
 
     w = Window.partitionBy("h").orderBy("n", "cls")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -167,15 +169,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tried = stored(met(lists, "before"))
 
     # the whole sets of the classes that share a list, computed once
-    wanted = lists.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
+    wanted = lists.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), F.col("cls").alias("of"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_bytes(b, 1), words)
+            cls = [_class(s) for s in sets]
             bits = np.array([_parities(s) for s in sets], np.int64).reshape(-1, len(BITS))
-            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, bits.T.copy())], names=["cls", "s", *BITS])
+            made = pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, bits.T.copy())], names=["cls", "s", *BITS])
+            yield made.filter(pa.array([x == y for x, y in zip(cls, b.column(2).to_pylist(), strict=True)], pa.bool_()))
 
-    sets = stored(texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(build, "cls long, s binary, " + ", ".join(f"{x} long" for x in BITS)).dropDuplicates(["cls"]))
+    built = texts.join(wanted, "id").select("id", "text", "of").mapInArrow(build, "cls long, s binary, " + ", ".join(f"{x} long" for x in BITS))
+    # a class has one row by now, unless rows with its smallest id repeat
+    sets = stored(built if classes.filter("copies > 1").isEmpty() else built.dropDuplicates(["cls"]))
     links = stored(_verify(tried, sets, percent))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
 
