@@ -54,17 +54,29 @@ def content_hash_dups(s, d):
     return m.duplicate_contents(v.read(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "content_hash", "duplicate")
 
 
-def _state(s, d):
-    """Line items of some orders are stored, those of others come in."""
+def _items(s, d):
     rows = v.read(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("media_key"), F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("href"), F.col("l_returnflag").alias("media_type"), F.col("l_linestatus").alias("author_username"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber")
-    rows = rows.withColumn("media_type", F.when(F.col("media_type") == "N", "unknown").otherwise(F.col("media_type"))).withColumn("shortcode", F.col("media_key")).withColumn("collections", F.array("media_type"))
+    return rows.withColumn("media_type", F.when(F.col("media_type") == "N", "unknown").otherwise(F.col("media_type"))).withColumn("shortcode", F.col("media_key")).withColumn("collections", F.array("media_type"))
+
+
+def _merge(early, late):
     order = ["l_orderkey", "l_linenumber"]
-    late = rows.filter(F.col("l_orderkey") % 64 == 0)
-    early = rows.filter(F.col("l_orderkey") % 32 == 1)
     stored = m.merge_batch(early, "at", order).withColumns({"first_seen_import_id": F.lit(1).cast("long"), "last_seen_import_id": F.lit(1).cast("long")})
     return m.merge_state(stored, m.merge_batch(late, "at", order), 2, "at")
 
 
+def _state(s, d):
+    """Line items of some orders are stored, those of others come in."""
+    rows = _items(s, d)
+    return _merge(rows.filter(F.col("l_orderkey") % 32 == 1), rows.filter(F.col("l_orderkey") % 64 == 0))
+
+
+def _whole_state(s, d):
+    """Line items shipped before 1996 are stored, all others come in."""
+    rows, early = _items(s, d), F.coalesce(F.year("at") < 1996, F.lit(False))
+    return _merge(rows.filter(early), rows.filter(~early))
+
+
 _BATCH = """{n} AS (SELECT l_partkey AS k, arg_min('h' || l_suppkey, (l_orderkey, l_linenumber)) AS href, arg_min(CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE l_returnflag END, (l_orderkey, l_linenumber)) AS kind,
 arg_min(l_linestatus, (l_orderkey, l_linenumber)) AS author, max(l_shipdate) AS at, list_sort(list(DISTINCT CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE l_returnflag END)) AS lists FROM lineitem WHERE l_orderkey % {w} GROUP BY 1)"""
 _MERGED = f"""WITH {_BATCH.format(n='a', w='32 = 1')}, {_BATCH.format(n='b', w='64 = 0')},
@@ -89,6 +101,24 @@ def merge_outcome_counts(s, d):
     return _state(s, d).groupBy("outcome").agg(F.count("*").alias("items"))
 
 
+_WHOLE = _MERGED.replace("l_orderkey % 32 = 1", "coalesce(year(l_shipdate) < 1996, false)").replace("l_orderkey % 64 = 0", "NOT coalesce(year(l_shipdate) < 1996, false)")
+
+
+@query(_WHOLE + "SELECT media_key, href, media_type, author_username, outcome FROM merged")
+def merge_outcomes_whole(s, d):
+    return _whole_state(s, d).select("media_key", "href", "media_type", "author_username", "outcome")
+
+
+@query(_WHOLE + "SELECT count(*) FILTER (WHERE first_seen = 2) AS added, greatest(0, count(*) FILTER (WHERE last_seen = 2) - count(*) FILTER (WHERE first_seen = 2)) AS updated FROM merged")
+def import_accounting_whole(s, d):
+    return m.accounting(_whole_state(s, d), 2)
+
+
+@query(_WHOLE + "SELECT outcome, count(*) AS items FROM merged GROUP BY 1")
+def merge_outcome_counts_whole(s, d):
+    return _whole_state(s, d).groupBy("outcome").agg(F.count("*").alias("items"))
+
+
 def _members(s, d):
     """Memberships first seen by import 2 where the part's key is even."""
     seen = F.when(F.col("media_id") % 2 == 0, 2).otherwise(1).cast("long")
