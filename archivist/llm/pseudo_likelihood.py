@@ -4,8 +4,9 @@ The network sees the WINDOW words on each side of a place, never the word itself
 row for each neighbour goes through tanh, and a softmax over classes of words times one over the words of
 the class gives the conditional probability. A document's score is the sum of their logarithms.
 
-The vocabulary are the most frequent words of the whole corpus, counted by a shuffle of all words; the others share
-OTHERS hashed entries. Training is local gradient descent in numpy on every partition's share of documents
+The vocabulary are all words of the corpus, counted by a shuffle. The most frequent have an entry of the network each, the
+others share OTHERS hashed ones: such a word has its entry's probability times its share of the entry's count, joined from
+the counts, which stay distributed. Training is local gradient descent in numpy on every partition's share of documents
 (one in TRAIN_SHARE by a hash of the id, so it grows with the corpus), and the
 partitions' parameters are averaged, weighted by their words, ROUNDS times.
 
@@ -16,6 +17,7 @@ itself. Only the id and the text column are read. An empty table gives an empty
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from archivist.llm.common import stored, table
 
 SIDE, WIDE, WINDOW, OTHERS = 64, 32, 2, 64
 VOCABULARY = SIDE * SIDE
+#: Distinct words that a worker counts before it passes them on.
+HELD = 200_000
 TRAIN_SHARE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.5
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"e": (len(_OFFSETS), VOCABULARY + 1, WIDE), "b": (WIDE,), "wc": (WIDE, SIDE), "bc": (SIDE,), "wj": (WIDE, SIDE), "bj": (SIDE, SIDE)}
@@ -43,13 +47,40 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, text.lower().split()), np.int32)
 
 
-def vocabulary(docs: DataFrame) -> Words:
-    """From counts over all words of all documents."""
-    counts = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''").groupBy("w").count()
-    top = counts.orderBy(F.desc("count"), "w").limit(VOCABULARY - OTHERS).collect()
+def counted(docs: DataFrame) -> DataFrame:
+    """(w, n): every word of the documents and how often it occurs, stored."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found.update(t.lower().split())
+            if len(found) >= HELD:
+                yield _counts(found)
+                found.clear()
+        yield _counts(found)
+
+    return stored(docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def _counts(found: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Words:
+    """The words with an entry of their own, from counts over all words of all documents."""
+    top = (counted(docs) if counts is None else counts).orderBy(F.desc("n"), "w").limit(VOCABULARY - OTHERS).collect()
     return Words({r["w"]: i for i, r in enumerate(top)})
 
 
+def log_shares(counts: DataFrame, words: Words) -> DataFrame:
+    """(w, log_share): each counted word without an own entry and its share of the words of its entry."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in words], "w string")
+    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("_entry", F.crc32(F.col("w").cast("binary")) % OTHERS)  # one vocabulary
+    totals = rare.groupBy("_entry").agg(F.sum("n").alias("_total"))
+    return rare.join(F.broadcast(totals), "_entry").select("w", F.log(F.col("n") / F.col("_total")).alias("log_share"))  # OTHERS rows
+
+
 def start() -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(7)
     return {k: (rnd.standard_normal(s) * (0.1 if k in ("e", "wc", "wj") else 0)).astype(np.float32) for k, s in _SHAPES.items()}
@@ -152,14 +183,16 @@ def train(docs: DataFrame, words: Words, share: int = TRAIN_SHARE, rounds: int =
     return now
 
 
-def score(docs: DataFrame, words: Words, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """(id, n_words, log_likelihood, mean_log_likelihood) of rows of (id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((dict(words), _flat(parameters)))
+def score(docs: DataFrame, words: Words, parameters: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
+    """(id, n_words, log_likelihood, mean_log_likelihood) of rows of (id, text); without counts, a word of
+    a shared entry has the probability of the entry."""
+    sent, apart = docs.sparkSession.sparkContext.broadcast((dict(words), _flat(parameters))), counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, p = Words(sent.value[0]), _named(sent.value[1])
         for b in batches:
-            runs = [known.ids(t) for t in b.column(1).to_pylist()]
+            texts = [t.lower().split() for t in b.column(2).to_pylist()]
+            runs = [np.fromiter(map(known.__getitem__, t), np.int32, len(t)) for t in texts]
             w, around = neighbours(runs)
             logs = np.zeros(len(w))
             for k in range(0, len(w), 4096):
@@ -168,16 +201,26 @@ def score(docs: DataFrame, words: Words, parameters: dict[str, np.ndarray]) -> D
             n = np.array([len(r) for r in runs], np.int64)
             total = np.r_[0.0, np.cumsum(logs)]
             end = np.cumsum(n)
-            s = total[end] - total[end - n]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(np.divide(s, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)], names=["id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            rare = [Counter(x for x in t if x not in known) if apart else {} for t in texts]
+            names = ["row", "id", "n_words", "s", "w", "times"]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total[end] - total[end - n]), pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))], names=names)
 
-    return docs.mapInArrow(run, "id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, "row long, id long, n_words long, s double, w array<string>, times array<int>")
+    log = F.col("s")
+    if counts is not None:
+        rows = stored(rows)  # fixes the row numbers
+        places = rows.select("row", F.explode(F.arrays_zip("w", "times")).alias("_p")).select("row", "_p.w", "_p.times")
+        shares = places.join(log_shares(counts, words), "w").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("_more"))
+        rows = rows.select("row", "id", "n_words", "s").join(shares, "row", "left")
+        log = log + F.coalesce("_more", F.lit(0.0))
+    return rows.select("id", "n_words", log.alias("log_likelihood")).withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = TRAIN_SHARE) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = vocabulary(rows)
-    return score(rows, words, train(rows, words, share)).withColumnRenamed("id", id_col)
+    counts = counted(rows)
+    words = vocabulary(rows, counts)
+    return score(rows, words, train(rows, words, share), counts).withColumnRenamed("id", id_col)
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
