@@ -6,8 +6,7 @@ the class gives the conditional probability. A document's score is the sum of th
 
 The vocabulary are all words of the corpus, counted by a shuffle. The most frequent have an entry of the network each, the
 others share OTHERS hashed ones: such a word has its entry's probability times its share of the entry's count, joined from
-the counts, which stay distributed. Training is local gradient descent in numpy on every partition's share of documents
-(one in TRAIN_SHARE by a hash of the id, so it grows with the corpus), and the
+the counts, which stay distributed. Training is local gradient descent in numpy on all documents of every partition, and the
 partitions' parameters are averaged, weighted by their words, ROUNDS times.
 
 Nulls count as empty texts; a text without words has score 0 and a null mean. Repeated rows are scored each for
@@ -32,7 +31,7 @@ SIDE, WIDE, WINDOW, OTHERS = 64, 32, 2, 64
 VOCABULARY = SIDE * SIDE
 #: Distinct words that a worker counts before it passes them on.
 HELD = 200_000
-TRAIN_SHARE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.5
+ROUNDS, BATCH, RATE = 2, 2048, 0.5
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"e": (len(_OFFSETS), VOCABULARY + 1, WIDE), "b": (WIDE,), "wc": (WIDE, SIDE), "bc": (SIDE,), "wj": (WIDE, SIDE), "bj": (SIDE, SIDE)}
 
@@ -142,10 +141,10 @@ def _named(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, words: Words, share: int = TRAIN_SHARE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters averaged over the partitions."""
+def train(docs: DataFrame, words: Words, share: int = 1, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters averaged over the partitions. A share above 1 holds documents back, by a hash of the id."""
     spark = docs.sparkSession
-    some = stored(docs.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text"))
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text") if share > 1 else docs.select("text")
     size = len(_flat(start()))
     cut = 1 << 15
     now = start()
@@ -216,7 +215,7 @@ def score(docs: DataFrame, words: Words, parameters: dict[str, np.ndarray], coun
     return rows.select("id", "n_words", log.alias("log_likelihood")).withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = TRAIN_SHARE) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = counted(rows)
     words = vocabulary(rows, counts)

@@ -42,3 +42,19 @@ def test_junk_is_told_from_prose(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text").union(spark.createDataFrame([(-1, junk)], "doc_id long, text string"))
     got = {r.doc_id: r.mean_log_likelihood for r in pl.pseudo_likelihood(docs).collect() if r.n_words}
     assert got[-1] < np.quantile(list(got.values()), 0.05)
+
+
+def test_all_documents_are_trained_on(spark):
+    docs = spark.createDataFrame([(i if i % 2 else None, "alpha beta " * 40) for i in range(60)], "id long, text string").coalesce(1)
+    words, rnd = pl.vocabulary(docs), np.random.default_rng(1)
+    want, w = pl.start(), np.tile([words["alpha"], words["beta"]], 40)
+    for r in range(pl.ROUNDS):  # the same descent, on every document and in one process
+        rnd = np.random.default_rng(1)
+        at, around = pl.neighbours([w] * 60)
+        o = rnd.permutation(len(at))
+        for k in range(0, len(o), pl.BATCH):
+            pl.step(want, at[o[k : k + pl.BATCH]], around[:, o[k : k + pl.BATCH]], pl.RATE / (r + 1))
+    got = pl.train(docs, words)
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    rows = pl.pseudo_likelihood(docs, "id").collect()
+    assert len(rows) == 60 and min(r.mean_log_likelihood for r in rows) > -8.3  # of 4,096 entries by chance
