@@ -2,12 +2,13 @@
 
 Two classifiers learnt from the labelled table give each document posteriors of three domains: toxic,
 and of the rest good or poor by quality. A document of t tokens with posteriors p adds rate * t * p to the
-domains. Rates start at 1 and follow projected gradient steps of the least-squares distance between the totals and
-the targets, each domain measured by its natural size: rate = max(0, rate + p . gap). A rate depends on the gaps of
-all steps only, so a step is one distributed sum of three numbers, and nothing of a document
-reaches the driver.
+domains. Rates start at 1 and follow projected Newton steps to the least change (squared, weighted by tokens) at which
+the totals meet the targets: rate = max(least, 1 + p . w). A rate depends on the three numbers w only, so a
+step is one distributed sum of totals and second moments, and nothing of a document reaches the driver. Targets out of reach
+give a RuntimeWarning with the shares met.
 
-Targets are shares of a total that, unless given, is the least at which no domain has to shrink. Nulls count as
+Targets are shares of a total that, unless given, is the least at which no domain has to shrink, or, with a least rate
+above 0, the one that changes least. Nulls count as
 empty texts and have no tokens. Repeated rows count each for itself. An empty table gives an
 empty result; a domain without tokens is left out. Classifiers are fitted on a bounded sample
 (SAMPLE labelled ids); all else covers all documents.
@@ -15,6 +16,7 @@ empty result; a domain without tokens is left out. Classifiers are fitted on a b
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ from archivist.llm.toxicity import fit, labelled_sample, with_scores
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-STEPS, CLOSE = 25, 1e-3
+PASSES, CLOSE = 100, 1e-3
+#: Parts of a step that one pass tries.
+_TRIES = (1.0, 0.5, 0.2, 0.05, 0.01)
 #: Labelled ids that the classifiers are fitted on, at most.
 SAMPLE = 5000
 
@@ -42,45 +46,77 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return with_scores(rows.withColumn("n_tokens", words), models).select("id", "n_tokens", ((1 - t) * q).alias("good"), ((1 - t) * (1 - q)).alias("poor"), t.alias("toxic"))
 
 
-def _rates(p: np.ndarray, gaps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(p))
-    for g in gaps:
-        r = np.maximum(0, r + p @ g)
-    return r
+def _rates(p: np.ndarray, w: np.ndarray, least: float) -> np.ndarray:
+    return np.maximum(least, 1 + p @ w)
 
 
-def _totals(known: DataFrame, gaps: list[np.ndarray]) -> np.ndarray:
+def _sums(known: DataFrame, tries: list[np.ndarray], least: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each w the totals, their derivatives by w, and the integral of which they are the gradient."""
+    n = len(DOMAINS)
+    names = [f"s{i}" for i in range(len(tries) * (n + n * n + 1))]
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros((len(tries), n + n * n + 1))
         for b in batches:
-            p = b[list(DOMAINS)].to_numpy()
-            total += (_rates(p, gaps) * b["n_tokens"].to_numpy()) @ p
-        yield pd.DataFrame([total], columns=list(DOMAINS))
+            p, t = b[list(DOMAINS)].to_numpy(), b["n_tokens"].to_numpy().astype(np.float64)
+            for k, w in enumerate(tries):
+                u = p @ w
+                free = u > least - 1
+                total[k, :n] += (_rates(p, w, least) * t) @ p
+                total[k, n:-1] += ((p * (t * free)[:, None]).T @ p).ravel()
+                total[k, -1] += t @ np.where(free, u + u * u / 2, least * u - (least - 1) ** 2 / 2)
+        yield pd.DataFrame([total.ravel()], columns=names)
 
-    sums = known.mapInPandas(add, ", ".join(f"{d} double" for d in DOMAINS)).agg(*[F.sum(d).alias(d) for d in DOMAINS]).first()
-    return np.array([sums[d] or 0.0 for d in DOMAINS])
+    got = known.mapInPandas(add, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x).alias(x) for x in names]).first()
+    return [(r[:n], r[n:-1].reshape(n, n), float(r[-1])) for r in np.array([x or 0.0 for x in got]).reshape(len(tries), -1)]
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Stored posteriors with a rate for each row, and the totals aimed at."""
+def fit_rates(known: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, least: float = 0.0) -> tuple[DataFrame, np.ndarray]:
+    """Stored posteriors with a rate of at least `least` for each row, and the totals aimed at."""
     share = np.array([(targets or TARGETS)[d] for d in DOMAINS])
-    natural = _totals(known, [])
-    there = (natural > 0) & (share > 0)
-    aim = share / share.sum() * (total if total is not None else (natural[there] / (share / share.sum())[there]).max(initial=0.0))
-    gaps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        now = _totals(known, gaps) if gaps else natural
-        gap = np.where(natural > 0, (aim - now) / np.maximum(natural, 1e-9), 0.0)
-        if np.abs(np.where(aim > 0, (aim - now) / np.maximum(aim, 1e-9), 0.0)[natural > 0]).max(initial=0) < CLOSE:
+    share = share / share.sum()
+    w = np.zeros(len(DOMAINS))
+    tries = [w]
+    sums = _sums(known, tries, least)
+    natural = sums[0][0]
+    some = natural > 0
+    there = some & (share > 0)
+    chosen = least > 0 and total is None  # the total follows from the rates, which move across the targets only
+    size = total if total is not None else (natural[there] / share[there]).max(initial=0.0)
+    part = np.where(some, share, 0.0) / max(share[some].sum(), 1e-9)
+    across = np.linalg.svd(part[None])[2][1:].T if chosen and there.any() else np.eye(len(DOMAINS))
+
+    def aimed(now: np.ndarray) -> np.ndarray:
+        return part * now.sum() if chosen else share * size
+
+    def far(now: np.ndarray) -> float:
+        return np.abs((aimed(now) - now)[there] / aimed(now)[there]).max(initial=0.0)
+
+    best, low = (np.inf, w, natural), np.inf
+    for _ in range(PASSES):
+        values = [f if chosen else f - share[some] @ x[some] * size for x, (_, _, f) in zip(tries, sums, strict=True)]
+        k = int(np.argmin(values))
+        w, (now, second, _) = tries[k], sums[k]
+        best = min(best, (far(now), w, now), key=lambda x: x[0])
+        if best[0] < CLOSE or values[k] >= low - 1e-12 * abs(low) or np.abs(w).max() > 1e6:
             break
-        gaps.append(gap)
-    rate = F.pandas_udf(lambda g, p, t: pd.Series(_rates(np.stack([g, p, t], 1), gaps)), "double")
-    return known.withColumn("rate", rate(*DOMAINS)), aim
-
-
-def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        low = values[k]
+        slope = across.T @ np.where(some, now - (0.0 if chosen else aimed(now)), 0.0)
+        curve = across.T @ second @ across
+        step = across @ np.linalg.solve(curve + np.eye(len(curve)) * max(1e-10 * np.trace(second), 1e-300), slope)
+        tries = [w - x * step for x in _TRIES]
+        sums = _sums(known, tries, least)
+    gap, w, now = best
+    if gap >= CLOSE:
+        met = ", ".join(f"{d} {x:.4g} of {a:.4g}" for d, x, a in zip(DOMAINS, now, aimed(now), strict=True))
+        warnings.warn(f"mixing targets are out of reach; tokens met: {met}", RuntimeWarning, stacklevel=2)
+    rate = F.pandas_udf(lambda g, p, t: pd.Series(_rates(np.stack([g, p, t], 1), w, least)), "double")
+    return known.withColumn("rate", rate(*DOMAINS)), aimed(now)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
     """(id, n_tokens, good, poor, toxic, rate) of each row."""
-    return fit_rates(stored(posteriors(docs, labels, id_col, text_col)))[0]
+    return fit_rates(stored(posteriors(docs, labels, id_col, text_col)), least=least)[0]
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
