@@ -61,7 +61,7 @@ def _sums(known: DataFrame, tries: list[np.ndarray], least: float) -> list[tuple
             p, t = b[list(DOMAINS)].to_numpy(), b["n_tokens"].to_numpy().astype(np.float64)
             for k, w in enumerate(tries):
                 u = p @ w
-                free = u > least - 1
+                free = u >= least - 1  # at the start all are
                 total[k, :n] += (_rates(p, w, least) * t) @ p
                 total[k, n:-1] += ((p * (t * free)[:, None]).T @ p).ravel()
                 total[k, -1] += t @ np.where(free, u + u * u / 2, least * u - (least - 1) ** 2 / 2)
@@ -93,6 +93,7 @@ def fit_rates(known: DataFrame, targets: dict[str, float] | None = None, total:
         return np.abs((aimed(now) - now)[there] / aimed(now)[there]).max(initial=0.0)
 
     best, low = (np.inf, w, natural), np.inf
+    ridge = max(1e-10 * np.trace(sums[0][1]), 1e-300)
     for _ in range(PASSES):
         values = [f if chosen else f - share[some] @ x[some] * size for x, (_, _, f) in zip(tries, sums, strict=True)]
         k = int(np.argmin(values))
@@ -103,7 +104,7 @@ def fit_rates(known: DataFrame, targets: dict[str, float] | None = None, total:
         low = values[k]
         slope = across.T @ np.where(some, now - (0.0 if chosen else aimed(now)), 0.0)
         curve = across.T @ second @ across
-        step = across @ np.linalg.solve(curve + np.eye(len(curve)) * max(1e-10 * np.trace(second), 1e-300), slope)
+        step = across @ np.linalg.solve(curve + np.eye(len(curve)) * ridge, slope)
         tries = [w - x * step for x in _TRIES]
         sums = _sums(known, tries, least)
     gap, w, now = best
@@ -124,8 +125,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as its rate says, at least once; the fraction is decided by a hash of its id."""
-    rates = mixed(docs, table(spark, sf_dir, "labels")).groupBy(F.col("id").alias("_id")).agg(F.max("rate").alias("_rate"))
+    """Pipeline stage: each document as often as its rate says, at least once, as the fit allows for; the fraction is decided by a hash of its id."""
+    rates = mixed(docs, table(spark, sf_dir, "labels"), least=1.0).groupBy(F.col("id").alias("_id")).agg(F.max("rate").alias("_rate"))
     chance = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) / 1_000_000
     copies = F.greatest(F.lit(1), (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int"))
     joined = docs.join(rates, docs["doc_id"] == rates["_id"], "left").withColumn("_copies", F.coalesce(copies, F.lit(1)))

@@ -31,3 +31,17 @@ def test_unreachable_targets_are_reported(spark):
     for least in (0.0, 1.0):
         with pytest.warns(RuntimeWarning, match="out of reach"):
             assert mixing.fit_rates(same, least=least)[0].count() == 5
+
+
+def test_the_stage_has_the_target_shares(spark, monkeypatch):
+    known = few_toxic(spark)
+    monkeypatch.setattr(mixing, "posteriors", lambda *_: known)
+    rows = {r.id: r for r in known.collect()}
+    docs = spark.createDataFrame([(i, "x") for i in rows], "doc_id long, text string")
+    copies = mixing.mix_sources(spark, docs, "/root/testdata/sf0.001").groupBy("doc_id").count().collect()
+    assert len(copies) == len(rows)
+    got = sum(np.array([rows[r.doc_id].good, rows[r.doc_id].poor, rows[r.doc_id].toxic]) * rows[r.doc_id].n_tokens * r["count"] for r in copies)
+    assert np.abs(got / got.sum() / [mixing.TARGETS[d] for d in mixing.DOMAINS] - 1).max() < 0.05  # fractions are drawn
+    fit = mixing.mixed(docs, None, least=1.0).collect()
+    got = totals(fit)
+    assert np.abs(got / got.sum() / [mixing.TARGETS[d] for d in mixing.DOMAINS] - 1).max() < 2e-3 and min(r.rate for r in fit) >= 1
