@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the one that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is missing, as in tests on one machine, a temporary folder takes its place."""
+    Where the setting is missing, a session on one machine gets a temporary folder of its own; on a cluster
+    that would be a folder nobody else sees, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="archivist-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -34,7 +37,29 @@ def stored(df: DataFrame) -> DataFrame:
     and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+#: Rows of a few numbers that are worth a task.
+ROWS_A_TASK = 50_000
+
+
+def sized(step: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored step in as many partitions as its rows are worth; on what fits one, later steps need no shuffle."""
+    out = step.coalesce(-(-(step.count() if rows is None else rows) // ROWS_A_TASK) or 1)
+    out.stored_at = step.stored_at
+    return out
+
+
+def free(*steps: DataFrame | None) -> None:
+    """Delete what stored() wrote for steps that nothing reads any more."""
+    for df in steps:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
