@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct words that a worker remembers; when full, the memory starts anew.
+#: Distinct words that a worker remembers; when full, only words of the batch at hand stay.
 MEMORY = 700_000
+#: Words that one call of the library encodes.
+TOGETHER = 300
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -41,44 +43,43 @@ class WordEncoder:
         self.words: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        # the same ids as encode(), without offsets
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def learn(self, new: list[str]) -> None:
         """The ids of ' ' + word for each new word; None where a cut beside it would not be safe."""
         good = []
         for w in new:
-            if not w or w[0].isspace() or w[-1].isspace():
+            if not w or w.strip() != w:
                 self.words[w] = None
             else:
                 good.append(w)
-        for k in range(0, len(good), 2000):
-            part = good[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(self.starts[ids])
+        size = self.dtype.itemsize
+        for k in range(0, len(good), TOGETHER):
+            part = good[k : k + TOGETHER]
+            raw = self.whole(" " + " ".join(part))
+            at = np.flatnonzero(self.starts[np.frombuffer(raw, self.dtype)])
             if len(at) == len(part) and at[0] == 0:
-                raw, cut = ids.tobytes(), [*(at * self.dtype.itemsize).tolist(), ids.nbytes]
-                self.words.update((w, raw[cut[i] : cut[i + 1]]) for i, w in enumerate(part))
+                cut = [*(at * size).tolist(), len(raw)]
+                self.words.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
             else:
                 self.words.update((w, self.whole(" " + w)) for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        seen = set()
-        for p in parts:
-            seen.update(p[1:])
-        new = [w for w in seen if w not in self.words]
-        if len(self.words) + len(new) > MEMORY:
-            self.words.clear()
-            new = list(seen)
-        self.learn(new)
+        heads = [p.pop(0) for p in parts]
+        seen = set().union(*parts)
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > MEMORY:  # words that came back stay
+            self.words = {w: self.words[w] for w in seen - new}
+        self.learn(list(new))
         get, out = self.words.__getitem__, []
-        for text, p in zip(texts, parts, strict=True):
-            head = p[0]
+        for text, head, p in zip(texts, heads, parts, strict=True):
             if head and head[-1].isspace():
                 out.append(self.whole(text))
                 continue
             try:
-                rest = b"".join(map(get, p[1:]))
+                rest = b"".join(map(get, p))
             except TypeError:
                 out.append(self.whole(text))
                 continue
