@@ -10,7 +10,7 @@ What is stored for a text is one signed byte a character, the change of the coun
 how many tokens any prefix has and how long a prefix a token budget allows, without encoding again.
 
 Nulls count as empty texts; an empty text has no prefix and no token. Repeated rows are counted each
-for itself. Only the id and the text column are read, so other columns can't clash.
+for itself; very long texts are counted whole. Only the id and the text column are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -169,11 +169,17 @@ def longest_prefix(changes: bytes, budget: int) -> int:
 
 
 def truncate(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """id, kept_chars, kept_text: the longest prefix of each text within the token budget."""
-    fit = F.pandas_udf(lambda s: s.map(lambda d: longest_prefix(d, budget)), "long")
-    counted = prefix_counts(docs, id_col, text_col, model).select(id_col, fit("prefix_changes").alias("kept_chars"))
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).dropDuplicates([id_col])
-    return counted.join(texts, id_col).select(id_col, "kept_chars", F.expr("substring(_text, 1, cast(kept_chars as int))").alias("kept_text"))
+    """id, kept_chars, kept_text: the longest prefix of each row's text within the token budget."""
+    model = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            kept = [longest_prefix(d, budget) for d in counter(model).texts(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.int64()), pa.array([t[:k] for t, k in zip(texts, kept, strict=True)], pa.string())], names=["id", "kept_chars", "kept_text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "id long, kept_chars long, kept_text string").withColumnRenamed("id", id_col)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
