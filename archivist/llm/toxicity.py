@@ -8,7 +8,7 @@ with the clearest difference keep a weight w, fitted by logistic regression on x
 is sigmoid(b + sum of w * r over a text's features). The model is one table of BUCKETS floats.
 
 Nulls count as empty texts; an empty text gets the score of the bias. Several labels of one id count
-as the largest; null labels and ids aren't learnt from. With no labels at all, or one class only, every
+as the largest, labels above 1 as 1; null and negative labels and null ids aren't learnt from, of an id with several texts the least is. With no labels at all, or one class only, every
 score is the share of label 1 (0.5 with no labels). Repeated rows are scored each for itself, equal texts alike.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import stored, table
+from archivist.llm.common import fresh, stored, table
 
 BUCKETS, SIZES = 1 << 19, (5, 7)
 SAMPLE, FEATURES, THRESHOLD = 16_000, 20_000, 0.7
@@ -35,30 +35,26 @@ class Model:
     weights: np.ndarray  # w * r by bucket
 
 
-def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each n: (n, bucket of the n-gram at each place, the text it lies in or -1 across texts)."""
-    low = [" ".join(t.lower().split()) for t in texts]
-    chars = np.frombuffer("".join(low).encode("utf-32-le", "replace"), "<u4")
-    sizes = np.array([len(t) for t in low], np.int64)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n: (n, bucket of the n-gram at each place of the texts in a row)."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
     h = np.zeros(len(chars), np.uint32)
     for n in range(1, max(SIZES) + 1):
         m = len(chars) - n + 1
         if m <= 0:
             return
-        h = (h[:m] * np.uint32(0x01000193)) ^ (chars[n - 1 :] * np.uint32(0x9E3779B1))
+        h = h[:m] * np.uint32(0x01000193)
+        h ^= chars[n - 1 :] * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in SIZES:
-            bucket = (h * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - 19)
-            yield n, bucket.astype(np.int64), np.where(np.arange(m) + n <= ends[:m], doc[:m], -1)
+            yield n, (h * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - 19)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about _CHUNK characters; a longer text is a run of its own."""
-    at = n = 0
+def _chunks(texts: list[str], features: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about _CHUNK characters, and of no more texts than bits for so many features are worth; a longer text is a run of its own."""
+    at, n, most = 0, 0, max(1, (1 << 24) // max(features, 1))
     for i, t in enumerate(texts):
-        if n and n + len(t) > _CHUNK:
+        if i > at and (n + len(t) > _CHUNK or i - at >= most):
             yield at, texts[at:i]
             at, n = i, 0
         n += len(t)
@@ -66,21 +62,33 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield at, texts[at:]
 
 
-def _features(texts: list[str], keep: np.ndarray) -> np.ndarray:
-    """text * BUCKETS + bucket of each distinct kept feature of each text."""
-    found = []
-    for _, bucket, doc in _grams(texts):
-        on = np.flatnonzero(keep[bucket] & (doc >= 0))
-        found.append(np.unique(doc[on] * BUCKETS + bucket[on]))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+def _features(texts: list[str], slots: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of each distinct feature of each text, ascending. slots: the feature of a bucket, or -1."""
+    low = [" ".join(t.lower().split()) for t in texts]
+    ends = np.cumsum([len(t) for t in low])
+    mark = np.zeros(len(texts) * features, bool)
+    for n, bucket in _grams(low):
+        slot = slots[bucket]
+        on = np.flatnonzero(slot >= 0)
+        doc = np.searchsorted(ends, on, "right")
+        inside = on + n <= ends[doc]
+        mark[doc[inside] * features + slot[on[inside]]] = True
+    f = np.flatnonzero(mark)
+    return f // max(features, 1), f % max(features, 1)
+
+
+def _slots(keep: np.ndarray) -> np.ndarray:
+    return np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:
-    """text and label columns of at most `bound` labelled ids, stored."""
-    one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(*[F.max(c).cast("int").alias(f"_{c}") for c in columns])
+    """text and label columns of at most `bound` rows, one for each labelled id: its least text. Stored."""
+    label = lambda c: F.max(F.when(F.col(c) > 0, 1).when(F.col(c) == 0, 0)).alias(f"_{c}")
+    one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(*[label(c) for c in columns])
     some = one.orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(texts.join(F.broadcast(some), "_id").select("text", *[F.col(f"_{c}").alias(c) for c in columns]))  # broadcast: at most `bound` rows
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(some), "_id")  # broadcast: at most `bound` rows
+    return stored(known.groupBy("_id").agg(F.min("text").alias("text"), *[F.first(f"_{c}").alias(c) for c in columns]).drop("_id"))
 
 
 def fit(sample: DataFrame, label: str) -> Model:
@@ -89,14 +97,14 @@ def fit(sample: DataFrame, label: str) -> Model:
     rows = sample.filter(F.col(label).isNotNull()).select("text", label)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, every, n = np.zeros((2, BUCKETS), np.int32), np.ones(BUCKETS, bool), np.zeros(2, np.int64)
+        got, every, n = np.zeros((2, BUCKETS), np.int32), np.arange(BUCKETS, dtype=np.int32), np.zeros(2, np.int64)
         for b in batches:
             y = np.array(b.column(1).to_pylist(), np.int64)
-            for at, texts in _chunks(b.column(0).to_pylist()):
-                f = _features(texts, every)
-                kind = y[at + f // BUCKETS]
+            for at, texts in _chunks(b.column(0).to_pylist(), BUCKETS):
+                doc, f = _features(texts, every, BUCKETS)
+                kind = y[at + doc]
                 for k in (0, 1):
-                    got[k] += np.bincount(f[kind == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+                    np.add.at(got[k], f[kind == k], np.int32(1))
             n += np.bincount(y, minlength=2)
         step = 1 << 13
         for k in (0, 1) if n.any() else ():
@@ -123,24 +131,25 @@ def fit(sample: DataFrame, label: str) -> Model:
     chosen = chosen[clear[chosen] > 2.5]
     keep = np.zeros(BUCKETS, bool)
     keep[chosen] = True
-    sent = spark.sparkContext.broadcast(keep)
+    sent = spark.sparkContext.broadcast(_slots(keep))
+    many = len(chosen)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y, found = b.column(1), []
-            for _, texts in _chunks(b.column(0).to_pylist()):
-                f = _features(texts, sent.value)
-                cut = np.searchsorted(f // BUCKETS, np.arange(1, len(texts)))
-                found += [(x % BUCKETS).astype(np.int32).tobytes() for x in np.split(f, cut)]
+            for _, texts in _chunks(b.column(0).to_pylist(), many):
+                doc, f = _features(texts, sent.value, many)
+                cut = np.searchsorted(doc, np.arange(1, len(texts)))
+                found += [x.astype(np.int32).tobytes() for x in np.split(f, cut)]
             yield pa.RecordBatch.from_arrays([y, pa.array(found, pa.binary())], names=["y", "f"])
 
     data = rows.mapInArrow(extract, "y int, f binary").collect()  # at most SAMPLE rows of at most FEATURES features
     data.sort(key=lambda d: (d["y"], d["f"]))
     y = np.array([d["y"] for d in data], float)
-    bucket = [np.frombuffer(d["f"], np.int32) for d in data]
-    row = np.repeat(np.arange(len(data), dtype=np.int32), [len(b) for b in bucket])
-    column = np.searchsorted(chosen, np.concatenate(bucket)).astype(np.int32) if bucket else np.empty(0, np.int32)
-    del data, bucket
+    found = [np.frombuffer(d["f"], np.int32) for d in data]
+    row = np.repeat(np.arange(len(data), dtype=np.int32), [len(f) for f in found])
+    column = np.concatenate(found)
+    del data, found
     x = np.clip(r[chosen], -8, 8)
     scale = 1 / max(1.0, float(np.sqrt(np.bincount(row, weights=x[column] ** 2, minlength=len(y)).mean())))
     w, b = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean())))
@@ -160,26 +169,26 @@ def fit(sample: DataFrame, label: str) -> Model:
 
 def with_scores(df: DataFrame, models: dict[str, Model], text_col: str = "text") -> DataFrame:
     """The rows with one more column of scores (0 to 1) for each model."""
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast({k: (m.bias, m.weights, m.weights != 0) for k, m in models.items()})
     names = list(models)
+    keep = np.logical_or.reduce([m.weights != 0 for m in models.values()])
+    many, made = int(keep.sum()), fresh(df, "_scores")[0]
+    sent = df.sparkSession.sparkContext.broadcast((_slots(keep), {k: (m.bias, m.weights[keep]) for k, m in models.items()}))
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def score(texts):
         import pandas as pd
 
         out = np.zeros((len(texts), len(names)))
-        all_texts = texts.fillna("").tolist()
-        keep = np.logical_or.reduce([sent.value[n][2] for n in names])
-        for at, part in _chunks(all_texts):
-            f = _features(part, keep)
+        slots, each = sent.value
+        for at, part in _chunks(texts.fillna("").tolist(), many):
+            doc, f = _features(part, slots, many)
             for k, n in enumerate(names):
-                bias, weights, _ = sent.value[n]
-                z = bias + np.bincount(f // BUCKETS, weights=weights[f % BUCKETS], minlength=len(part))
+                bias, weights = each[n]
+                z = bias + np.bincount(doc, weights=weights[f], minlength=len(part))
                 out[at : at + len(part), k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return pd.DataFrame(out, columns=names)
 
-    return df.withColumn("_scores", score(F.col(text_col).cast("string"))).select(*df.columns, *[F.col(f"_scores.{n}").alias(n) for n in names])
+    return df.withColumn(made, score(F.col(text_col).cast("string"))).select(*df.columns, *[F.col(f"{made}.{n}").alias(n) for n in names])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -198,9 +207,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier doesn't reject, with their columns."""
-    rows = with_scores(docs, {"_toxic": toxic_model(docs, table(spark, sf_dir, "labels"))})
-    return rows.filter(F.col("_toxic") < THRESHOLD).drop("_toxic")
+    """Pipeline stage: documents that the classifier doesn't reject, with their columns.
+
+    Rows with a null or empty text get the score of the bias and stay with it. Rows without an id are judged by their text as any other.
+    Repeated rows are judged each for itself, alike where texts are equal; very long texts whole. Columns may have any names. An
+    empty table stays empty."""
+    toxic = fresh(docs, "_toxic")[0]
+    rows = with_scores(docs, {toxic: toxic_model(docs, table(spark, sf_dir, "labels"))})
+    return rows.filter(F.col(toxic) < THRESHOLD).drop(toxic)
 
 
 QUERIES = {"op7_toxicity": op7_toxicity}
