@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import stored, table
+from archivist.llm.common import fresh, stored, table
 from archivist.llm.toxicity import fit, labelled_sample, with_scores
 
 DOMAINS = ("good", "poor", "toxic")
@@ -125,12 +125,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as its rate says, at least once, as the fit allows for; the fraction is decided by a hash of its id."""
-    rates = mixed(docs, table(spark, sf_dir, "labels"), least=1.0).groupBy(F.col("id").alias("_id")).agg(F.max("rate").alias("_rate"))
-    chance = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) / 1_000_000
-    copies = F.greatest(F.lit(1), (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int"))
-    joined = docs.join(rates, docs["doc_id"] == rates["_id"], "left").withColumn("_copies", F.coalesce(copies, F.lit(1)))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Pipeline stage: each document as often as its rate says, at least once, as the fit allows for; the fraction is decided by a hash of its id.
+
+    Rows of one id share the largest of their rates; rows without an id stay once. Null and empty texts have no tokens and rates as their
+    posteriors say. Repeated rows are multiplied each for itself. Columns may have any names. An empty table stays empty."""
+    i, rate, copies, k = fresh(docs, "_id", "_rate", "_copies", "_k")
+    rates = mixed(docs, table(spark, sf_dir, "labels"), least=1.0).filter("id is not null").groupBy(F.col("id").alias(i)).agg(F.max("rate").alias(rate))
+    chance = F.pmod(F.xxhash64(i), F.lit(1_000_000)) / 1_000_000
+    times = F.greatest(F.lit(1), (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("int")).cast("int"))
+    joined = docs.join(rates, docs["doc_id"].cast("long") == F.col(i), "left").withColumn(copies, F.coalesce(times, F.lit(1)))
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 QUERIES = {"op5_mixing": op5_mixing}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from archivist.llm.common import ROWS_A_TASK, free, partitions, sized, stored, table
+from archivist.llm.common import ROWS_A_TASK, free, fresh, partitions, sized, stored, table
 from archivist.llm.components import components
 from archivist.llm.shingles import mix, shingle_sets
 
@@ -366,9 +366,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each group, with its columns."""
-    keep = similar_documents(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    """Pipeline stage: the document with the smallest id of each group, with its columns.
+
+    Rows without an id, without a text or without words are in no group and stay. Rows of one id stay or go together: they stay where
+    the id is the smallest of a group that one of them is in. Very long texts are compared whole. Columns may have any names. An
+    empty table stays empty."""
+    i = fresh(docs, "_id")[0]
+    keep = similar_documents(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col(i)), "left_semi")
 
 
 QUERIES = {"op10_ngram_join": op10_ngram_join}

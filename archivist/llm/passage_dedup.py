@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import partitions, stored, table
+from archivist.llm.common import fresh, partitions, stored, table
 from archivist.llm.shingles import chunks, mix, powers
 from archivist.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
@@ -199,16 +199,18 @@ def _kept(text: str, spans: bytes) -> tuple[bytes, int, int]:
     return b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)), int((e[1::2] - e[::2]).sum()), len(e) // 2
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id, text (what is left; characters cut in two go), n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left)."""
-
+def _removed(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [_kept(t, s) for t, s in zip(b["text"], b["spans"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "text": [k.decode("utf-8", "ignore") for k, _, _ in got], "n_bytes": b["n_bytes"], "n_removed": [n for _, n, _ in got], "n_spans": [n for _, _, n in got], "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in got]})
+            yield pd.DataFrame({"id": b["id"], "t": b["t"], "text": [k.decode("utf-8", "ignore") for k, _, _ in got], "n_bytes": b["n_bytes"], "n_removed": [n for _, n, _ in got], "n_spans": [n for _, _, n in got], "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in got]})
+
+    return repeats(rows, length, gram).mapInPandas(run, "id long, t long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-    shape = "id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return repeats(_rows(docs, id_col, text_col), length, gram).mapInPandas(run, shape).withColumnsRenamed({"id": id_col, "text": text_col})
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """id, text (what is left; characters cut in two go), n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left)."""
+    return _removed(_rows(docs, id_col, text_col), length, gram).drop("t").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,11 +218,16 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated passages, with their columns; n_chars follows the text."""
-    cut = remove_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    left = F.coalesce("_text", F.coalesce("text", F.lit("")))
-    new = {"text": left, "n_chars": F.length(left).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": left}
+    """Pipeline stage: the documents without repeated passages, with their columns; n_chars follows the text.
+
+    Rows without an id keep their text; a null text becomes an empty one. Rows of one id are told apart by their texts, and equal rows
+    are cut alike; a text of nothing but repeats becomes empty and stays. Very long texts are cut whole. Columns may have any names. An empty table stays empty."""
+    i, t, left = fresh(docs, "_id", "_t", "_left")
+    cut = _removed(_rows(docs, "doc_id", "text"), LENGTH, GRAM).filter("n_removed > 0").select(F.col("id").alias(i), F.col("t").alias(t), F.col("text").alias(left)).dropDuplicates([i, t])
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    joined = docs.join(cut, (docs["doc_id"].cast("long") == F.col(i)) & (own == F.col(t)), "left")
+    text = F.coalesce(F.col(left), docs["text"].cast("string"), F.lit(""))
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
     return joined.withColumns(new).select(*docs.columns)
 
 
