@@ -8,12 +8,12 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The site whose addresses are items, as a pattern; any host unless a caller narrows it.
+#: The site whose addresses are items, as a pattern: any host. The functions take a narrower one.
 SITE = r"[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 #: Where an item's code stands in its address. Fixed values.
-CODE = SITE + r"/(?:p|reel|reels|tv)/([A-Za-z0-9_-]+)"
-STORY = SITE + r"/stories/([A-Za-z0-9._]+)(?:/([0-9]+))?"
-COMMENT_PATH = SITE + r"/(?:p|reel|reels|tv)/[^/?#]+/c/([A-Za-z0-9_-]+)"
+CODE = r"/(?:p|reel|reels|tv)/([A-Za-z0-9_-]+)"
+STORY = r"/stories/([A-Za-z0-9._]+)(?:/([0-9]+))?"
+COMMENT_PATH = r"/(?:p|reel|reels|tv)/[^/?#]+/c/([A-Za-z0-9_-]+)"
 COMMENT_QUERY = r"[?&#](?:comment_id|commentid)=([A-Za-z0-9_-]+)"
 COMMENT_HASH = r"#comment-?([A-Za-z0-9_-]+)"
 #: Labels that stand where a name could stand. Fixed values.
@@ -37,25 +37,29 @@ def liked_media_type(href: Column, source: Column) -> Column:
     return F.when(source == "liked_comments", "comment").when((source == "story_likes") | F.lower(href).contains("/stories/"), "story").otherwise(media_type(href))
 
 
-def shortcode(href: Column) -> Column:
-    return _found(href, CODE)
+def shortcode(href: Column, site: str = SITE) -> Column:
+    return _found(href, site + CODE)
 
 
-def story_user(href: Column) -> Column:
-    return F.lower(_found(href, STORY))
+def story_user(href: Column, site: str = SITE) -> Column:
+    return F.lower(_found(href, site + STORY))
 
 
-def media_key(href: Column) -> Column:
-    """The code; else story:user:id; else story:user:address; else host and path; else the text; else null."""
+def _without_end(c: Column) -> Column:
+    return F.nullif(F.regexp_replace(c, "/+$", ""), F.lit(""))
+
+
+def media_key(href: Column, site: str = SITE) -> Column:
+    """The code; else story:user:id; else story:user:address; else host and path; else the text; else null. Slashes at the end don't count."""
     text = blank_to_null(href)
-    user, number = story_user(text), _found(text, STORY, 2)
+    user, number = story_user(text, site), _found(text, site + STORY, 2)
     host, path = F.lower(F.try_parse_url(text, F.lit("HOST"))), F.try_parse_url(text, F.lit("PATH"))
-    story = F.when(user.isNotNull(), F.concat(F.lit("story:"), user, F.lit(":"), F.coalesce(number, F.lower(text))))
-    return F.coalesce(shortcode(text), story, F.concat(host, F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", "")), text)
+    story = F.when(user.isNotNull(), F.concat(F.lit("story:"), user, F.lit(":"), F.coalesce(number, _without_end(F.lower(text)))))
+    return F.coalesce(shortcode(text, site), story, F.concat(host, F.coalesce(_without_end(path), F.lit(""))), _without_end(text))
 
 
-def comment_id(href: Column) -> Column:
-    return F.coalesce(_found(href, COMMENT_PATH), _found(href, COMMENT_QUERY), _found(href, COMMENT_HASH))
+def comment_id(href: Column, site: str = SITE) -> Column:
+    return F.coalesce(_found(href, site + COMMENT_PATH), _found(href, COMMENT_QUERY), _found(href, COMMENT_HASH))
 
 
 def comment_slug(text: str | None) -> str:

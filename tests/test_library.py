@@ -22,7 +22,10 @@ def column(spark, values, f, kind="string"):
 
 def test_identity(spark):
     urls = [f"{SITE}/p/AbC_1/?x=1", f"{SITE}/reel/aBc/", f"{SITE}/stories/Some.One/123/", f"{SITE}/stories/Some.One/", "https://Other.Example.com/a/b/?q#f", " plain ", " ", None]
-    assert column(spark, urls, identity.media_key) == ["AbC_1", "aBc", "story:some.one:123", f"story:some.one:{SITE}/stories/some.one/", "other.example.com/a/b", "plain", None, None]
+    assert column(spark, urls, identity.media_key) == ["AbC_1", "aBc", "story:some.one:123", f"story:some.one:{SITE}/stories/some.one", "other.example.com/a/b", "plain", None, None]
+    ends = [f"{SITE}/stories/Bob/", f"{SITE}/stories/Bob", "not a url/", "not a url", "//", "https://a.com/p/X1/", "https://b.com/p/X1/"]
+    assert column(spark, ends, identity.media_key) == [f"story:bob:{SITE}/stories/bob"] * 2 + ["not a url"] * 2 + [None, "X1", "X1"]
+    assert column(spark, ends[-2:], lambda c: identity.media_key(c, r"a\.com")) == ["X1", "b.com/p/X1"]
     assert column(spark, urls[:5], identity.media_type) == ["post", "reel", "unknown", "unknown", "unknown"]
     assert column(spark, [f"{SITE}/p/A/c/12/", f"{SITE}/p/A/?comment_id=7", f"{SITE}/p/A/#comment-9", "x"], identity.comment_id) == ["12", "7", "9", None]
     assert column(spark, ["@@ann ", "bob", " "], identity.username) == ["ann", "bob", None]
