@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a command deletes its shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows and bytes that one Arrow batch brings to a Python worker. Documents may be very long.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
@@ -32,11 +37,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind; the caller's setting comes back after it."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: later steps don't run this plan twice,
-    and a lost executor loses none of it."""
+    and a lost executor loses none of it. The shuffles behind the rows are needed no more, so their files go."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archivist.llm.common import partitions, shared_folder, table
+from archivist.llm.common import partitions, shared_folder, shuffles_freed, table
 from archivist.llm.encode import default_tokenizer, encoder
 
 END = 2
@@ -158,7 +158,8 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(2 * partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     index = ordered.mapInArrow(run, "part int, file string, doc_id long, position long, n_tokens long, part_start long")
-    index.write.parquet(f"{folder}/index")
+    with shuffles_freed(spark):
+        index.write.parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
 
