@@ -6,8 +6,9 @@ the class gives the conditional probability. A document's score is the sum of th
 
 The vocabulary are all words of the corpus, counted by a shuffle. The most frequent have an entry of the network each, the
 others share OTHERS hashed ones: such a word has its entry's probability times its share of the entry's count, joined from
-the counts, which stay distributed. Training is local gradient descent in numpy on all documents of every partition, and the
-partitions' parameters are averaged, weighted by their words, ROUNDS times.
+the counts, which stay distributed. Texts become ids once, and all later passes read these. Training is local gradient descent in
+numpy on all documents: they are dealt to shards by a hash of id and words, a shard for each SHARD words, and the shards'
+parameters are averaged, weighted by their words, ROUNDS times. So the table's partitions don't change the network.
 
 Nulls count as empty texts; a text without words has score 0 and a null mean. Repeated rows are scored each for
 itself. Only the id and the text column are read. An empty table gives an empty result.
@@ -32,6 +33,8 @@ VOCABULARY = SIDE * SIDE
 #: Distinct words that a worker counts before it passes them on.
 HELD = 200_000
 ROUNDS, BATCH, RATE = 2, 2048, 0.5
+#: Words of a shard that is trained on by itself.
+SHARD = 2_000_000
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"e": (len(_OFFSETS), VOCABULARY + 1, WIDE), "b": (WIDE,), "wc": (WIDE, SIDE), "bc": (SIDE,), "wj": (WIDE, SIDE), "bj": (SIDE, SIDE)}
 
@@ -80,6 +83,39 @@ def log_shares(counts: DataFrame, words: Words) -> DataFrame:
     return rare.join(F.broadcast(totals), "_entry").select("w", F.log(F.col("n") / F.col("_total")).alias("log_share"))  # OTHERS rows
 
 
+def coded(docs: DataFrame, words: Words) -> DataFrame:
+    """(row, id, n_words, ids, w, times), stored: the ids of each text's words, packed, and its words without an entry of their own, counted."""
+    sent = docs.sparkSession.sparkContext.broadcast(dict(words))  # one vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(sent.value)
+        others: dict[str, int] = {}  # ids of some words without an entry
+        for b in batches:
+            ids, rare = [], []
+            for t in b.column(2).to_pylist():
+                found = t.lower().split()
+                x = np.fromiter((known.get(w, -1) for w in found), np.int32, len(found))
+                times = Counter(found[k] for k in np.flatnonzero(x < 0).tolist())
+                if len(others) > HELD:
+                    others.clear()
+                for w in times:
+                    if w not in others:
+                        others[w] = known[w]
+                if times:
+                    x[x < 0] = [others[found[k]] for k in np.flatnonzero(x < 0).tolist()]
+                ids.append(x.astype(np.uint16).tobytes())
+                rare.append(times)
+            n = [len(x) // 2 for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))], names=["row", "id", "n_words", "ids", "w", "times"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    return stored(rows.mapInArrow(run, "row long, id long, n_words long, ids binary, w array<string>, times array<int>"))
+
+
+def _runs(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int32) for x in column.to_pylist()]
+
+
 def start() -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(7)
     return {k: (rnd.standard_normal(s) * (0.1 if k in ("e", "wc", "wj") else 0)).astype(np.float32) for k, s in _SHAPES.items()}
@@ -94,37 +130,63 @@ def neighbours(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray):
-    h = np.tanh(sum(p["e"][k][around[k]] for k in range(len(_OFFSETS))) + p["b"])
-    out = []
+    """The hidden layer, the class and the place in it of each word, and for both the probabilities and the word's own logarithm."""
+    table = p["e"].reshape(-1, WIDE)
+    h = p["b"] + table.take(around[0], 0)
+    for k in range(1, len(_OFFSETS)):
+        h += table.take(around[k] + np.int32(k * (VOCABULARY + 1)), 0)
+    h = np.tanh(h, out=h)
     c, j = words // SIDE, words % SIDE
-    for logits, at in ((h @ p["wc"] + p["bc"], c), (h @ p["wj"] + p["bj"][c], j)):
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        z = e.sum(1, keepdims=True)
-        out.append((e / z, logits[np.arange(len(at)), at] - np.log(z[:, 0])))
-    return h, c, j, out
+    both = h @ np.concatenate([p["wc"], p["wj"]], 1)
+    both[:, :SIDE] += p["bc"]
+    both[:, SIDE:] += p["bj"].take(c, 0)
+    both = both.reshape(-1, 2, SIDE)
+    if both.size and max(both.max(), -both.min()) > 60:  # else neither powers nor their sums leave the range of floats
+        both -= both.max(2, keepdims=True)
+    row = np.arange(len(words))
+    own = np.stack([both[row, 0, c], both[row, 1, j]])
+    np.exp(both, out=both)
+    z = (both.reshape(-1, SIDE) @ np.ones(SIDE, np.float32)).reshape(-1, 2)
+    own -= np.log(z.T)
+    both /= z[:, :, None]
+    return h, c, j, [(both[:, 0], own[0]), (both[:, 1], own[1])]
+
+
+def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that start at cut. Pairs of floats are added as complex numbers, in half the steps."""
+    size = np.diff(np.r_[cut, len(x)])
+    out, more = x.take(cut, 0), size > 1
+    if more.any():
+        more = np.flatnonzero(more)
+        runs = x.take(np.flatnonzero(np.repeat(size > 1, size)), 0)
+        out[more] = np.add.reduceat(runs.view(np.complex64), np.cumsum(size[more]) - size[more], axis=0).view(np.float32)
+    return out
 
 
 def step(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray, rate: float) -> float:
     """One descent step on a batch; returns the mean log-probability before it."""
+    o = np.argsort(words.astype(np.uint16), kind="stable")
+    words, around = words[o], around[:, o]
     h, c, j, ((pc, lc), (pj, lj)) = forward(p, words, around)
     n = len(words)
-    pc[np.arange(n), c] -= 1
-    pj[np.arange(n), j] -= 1
-    gh = (pc @ p["wc"].T + pj @ p["wj"].T) * (1 - h * h)
-    p["wc"] -= rate * (h.T @ pc) / n
-    p["bc"] -= rate * pc.mean(0)
-    p["wj"] -= rate * (h.T @ pj) / n
-    flat = (c[:, None] * SIDE + np.arange(SIDE)).ravel()
-    p["bj"] -= (rate * np.bincount(flat, weights=pj.ravel(), minlength=SIDE * SIDE) / n).reshape(SIDE, SIDE).astype(np.float32)
-    p["b"] -= rate * gh.mean(0)
-    for k in range(len(_OFFSETS)):
-        o = np.argsort(around[k], kind="stable")
-        ids = around[k][o]
-        cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g = np.add.reduceat(gh[o], cut, axis=0)
-        size = np.diff(np.r_[cut, n])[:, None]
-        p["e"][k][ids[cut]] -= rate * g / np.sqrt(size * n / 16)  # rows of rare words take larger steps
+    row, each = np.arange(n), np.full(n, rate / n, np.float32)
+    pc[row, c] -= 1
+    pj[row, j] -= 1
+    both = pc.base.reshape(n, 2 * SIDE)
+    gh = (both @ np.concatenate([p["wc"], p["wj"]], 1).T) * (1 - h * h)
+    g = np.float32(rate / n) * (h.T @ both)
+    p["wc"] -= g[:, :SIDE]
+    p["wj"] -= g[:, SIDE:]
+    p["bc"] -= (each @ both)[:SIDE]
+    cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    p["bj"][c[cut]] -= np.float32(rate / n) * np.add.reduceat(both.view(np.complex64)[:, SIDE // 2 :], cut, axis=0).view(np.float32)
+    p["b"] -= each @ gh
+    ids = (around + np.arange(len(_OFFSETS), dtype=np.int32)[:, None] * (VOCABULARY + 1)).ravel()
+    o = np.argsort(ids.astype(np.uint16), kind="stable")  # all rows of all offsets at once
+    ids = ids[o]
+    cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    size = np.diff(np.r_[cut, len(ids)])[:, None]
+    p["e"].reshape(-1, WIDE)[ids[cut]] -= _sums(gh.take(o % n, 0), cut) * (rate / np.sqrt(size * n / 16)).astype(np.float32)  # rows of rare words take larger steps
     return float((lc + lj).mean())
 
 
@@ -142,20 +204,25 @@ def _named(v: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, words: Words, share: int = 1, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters averaged over the partitions. A share above 1 holds documents back, by a hash of the id."""
+    """Parameters averaged over the shards of rows (id, text), or of what coded() made of them. A share above 1 holds documents
+    back, by a hash of the id."""
     spark = docs.sparkSession
-    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text") if share > 1 else docs.select("text")
+    some = docs if "ids" in docs.columns else coded(docs, words)
+    if share > 1:
+        some = some.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    shards = -(-(some.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // SHARD) or 1
+    some = some.select("ids", F.xxhash64("id", "ids").alias("at")).repartition(shards, "at").sortWithinPartitions("at", "ids").select("ids")
     size = len(_flat(start()))
     cut = 1 << 15
     now = start()
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((dict(words), _flat(now)))  # one vocabulary and one network
+        sent = spark.sparkContext.broadcast(_flat(now))  # one network
 
         def fit(batches: Iterator[pa.RecordBatch], rate: float = RATE / (r + 1), sent=sent) -> Iterator[pa.RecordBatch]:
-            known, p, n = Words(sent.value[0]), _named(sent.value[1]), 0
+            p, n = _named(sent.value), 0
             rnd = np.random.default_rng(1)
             for b in batches:
-                w, around = neighbours([known.ids(t) for t in b.column(0).to_pylist()])
+                w, around = neighbours(_runs(b.column(0)))
                 o = rnd.permutation(len(w))
                 for k in range(0, len(o), BATCH):
                     step(p, w[o[k : k + BATCH]], around[:, o[k : k + BATCH]], rate)
@@ -183,32 +250,26 @@ def train(docs: DataFrame, words: Words, share: int = 1, rounds: int = ROUNDS) -
 
 
 def score(docs: DataFrame, words: Words, parameters: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
-    """(id, n_words, log_likelihood, mean_log_likelihood) of rows of (id, text); without counts, a word of
-    a shared entry has the probability of the entry."""
-    sent, apart = docs.sparkSession.sparkContext.broadcast((dict(words), _flat(parameters))), counts is not None
+    """(id, n_words, log_likelihood, mean_log_likelihood) of rows (id, text), or of what coded() made of them; without counts, a word
+    of a shared entry has the probability of the entry."""
+    sent = docs.sparkSession.sparkContext.broadcast(_flat(parameters))
+    texts = docs if "ids" in docs.columns else coded(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, p = Words(sent.value[0]), _named(sent.value[1])
+        p = _named(sent.value)
         for b in batches:
-            texts = [t.lower().split() for t in b.column(2).to_pylist()]
-            runs = [np.fromiter(map(known.__getitem__, t), np.int32, len(t)) for t in texts]
-            w, around = neighbours(runs)
+            w, around = neighbours(_runs(b.column(3)))
             logs = np.zeros(len(w))
             for k in range(0, len(w), 4096):
                 *_, ((_, lc), (_, lj)) = forward(p, w[k : k + 4096], around[:, k : k + 4096])
                 logs[k : k + 4096] = lc + lj
-            n = np.array([len(r) for r in runs], np.int64)
-            total = np.r_[0.0, np.cumsum(logs)]
-            end = np.cumsum(n)
-            rare = [Counter(x for x in t if x not in known) if apart else {} for t in texts]
-            names = ["row", "id", "n_words", "s", "w", "times"]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total[end] - total[end - n]), pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))], names=names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, "row long, id long, n_words long, s double, w array<string>, times array<int>")
+            total, end = np.r_[0.0, np.cumsum(logs)], np.cumsum(b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total[end] - total[np.r_[0, end[:-1]]] if len(end) else [], pa.float64())], names=["row", "id", "n_words", "s"])
+
+    rows = texts.select("row", "id", "n_words", "ids").mapInArrow(run, "row long, id long, n_words long, s double")
     log = F.col("s")
     if counts is not None:
-        rows = stored(rows)  # fixes the row numbers
-        places = rows.select("row", F.explode(F.arrays_zip("w", "times")).alias("_p")).select("row", "_p.w", "_p.times")
+        places = texts.select("row", F.explode(F.arrays_zip("w", "times")).alias("_p")).select("row", "_p.w", "_p.times")
         shares = places.join(log_shares(counts, words), "w").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("_more"))
         rows = rows.select("row", "id", "n_words", "s").join(shares, "row", "left")
         log = log + F.coalesce("_more", F.lit(0.0))
@@ -219,7 +280,8 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = counted(rows)
     words = vocabulary(rows, counts)
-    return score(rows, words, train(rows, words, share), counts).withColumnRenamed("id", id_col)
+    texts = coded(rows, words)
+    return score(texts, words, train(texts, words, share), counts).withColumnRenamed("id", id_col)
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,42 @@ def test_all_documents_are_trained_on(spark):
     assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
     rows = pl.pseudo_likelihood(docs, "id").collect()
     assert len(rows) == 60 and min(r.mean_log_likelihood for r in rows) > -8.3  # of 4,096 entries by chance
+
+
+def test_partitions_of_the_table_dont_matter(spark, monkeypatch):
+    monkeypatch.setattr(pl, "SHARD", 100_000)  # several shards
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text")
+    one, seven = ({r.doc_id: r.log_likelihood for r in pl.pseudo_likelihood(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert all(abs(one[i] - seven[i]) < 1e-3 * max(1, abs(one[i])) for i in one)
+
+
+def test_step_against_loops():
+    rnd = np.random.default_rng(5)
+    n, rate = 40, 0.3
+    words, around = rnd.integers(0, 200, n).astype(np.int32), rnd.integers(0, 12, (4, n)).astype(np.int32)
+    around[0, 0] = pl.VOCABULARY
+    got = pl.start()
+    p = {k: v.astype(np.float64) for k, v in got.items()}
+    grad, times = {k: np.zeros(v.shape) for k, v in p.items()}, Counter()
+    total = 0.0
+    for i in range(n):
+        c, j = divmod(int(words[i]), pl.SIDE)
+        h = np.tanh(sum(p["e"][k][around[k, i]] for k in range(4)) + p["b"])
+        back = 0
+        for w, b, at in (("wc", p["bc"], c), ("wj", p["bj"][c], j)):
+            e = np.exp(h @ p[w] + b)
+            d = e / e.sum()
+            total += log(d[at])
+            d[at] -= 1
+            grad[w] += np.outer(h, d) / n
+            (grad["bc"] if w == "wc" else grad["bj"][c])[:] += d / n
+            back = back + p[w] @ d
+        back = back * (1 - h * h)
+        grad["b"] += back / n
+        for k in range(4):
+            grad["e"][k][around[k, i]] += back
+            times[k, int(around[k, i])] += 1
+    for (k, w), m in times.items():
+        grad["e"][k][w] /= np.sqrt(m * n / 16)
+    assert abs(pl.step(got, words, around, rate) - total / n) < 1e-5
+    assert all(np.allclose(got[k], p[k] - rate * grad[k], atol=1e-5) for k in p)
