@@ -211,7 +211,7 @@ def train(docs: DataFrame, words: Words, share: int = 1, rounds: int = ROUNDS) -
     if share > 1:
         some = some.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     shards = -(-(some.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // SHARD) or 1
-    some = some.select("ids", F.xxhash64("id", "ids").alias("at")).repartition(shards, "at").sortWithinPartitions("at", "ids").select("ids")
+    some = some.select("ids", F.xxhash64("id", "ids").alias("at")).repartition(shards, "at").coalesce(shards).sortWithinPartitions("at", "ids").select("ids")  # every shard sends a whole network
     size = len(_flat(start()))
     cut = 1 << 15
     now = start()
