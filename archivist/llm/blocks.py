@@ -37,3 +37,17 @@ def index_and_queries(batches: Iterator[pa.RecordBatch], keys: int, held: int) -
                     queries, n = [], 0
     if index and queries:
         yield index, queries
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
