@@ -7,7 +7,7 @@ DivideSkip its shingles divide into the L = T - 1 with the longest inverted list
    table of counters that grows with the input up to CELLS; any total order gives the same result. A list that the counters show to be
    long is salted, so that no task sorts it alone.
 2. Each query class heap-merges the members that its short lists offer it and counts how often each occurs (`_merged`). A member that
-   occurs less than T - L times can't be a partner.
+   occurs less than T - L times, less the short lists that aren't at hand, can't be a partner.
 3. The lists of the long shingles are never merged: a candidate is probed for them by binary search, in blocks, rarest first, until it
    reaches T or no longer can (`_probed`).
 
@@ -94,6 +94,11 @@ def _long(n: int, percent: int) -> int:
     return -(-percent * n // 100) - 1
 
 
+def _long_column(percent: int) -> F.Column:
+    """The same over the rows of a class."""
+    return F.floor((percent * F.max("n").cast("long") + 99) / 100) - 1
+
+
 def _needed(na: int, nb: int, percent: int) -> int:
     """T: percent * union <= 100 * shared, so (100 + percent) * shared >= percent * (na + nb)."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -182,8 +187,8 @@ def _fits(percent: int) -> F.Column:
 
 def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) -> DataFrame:
     """(a, b, n, n2) of the members b that occur often enough in the lists of a query a, of rows (h, cls, n, c2, n2): the members c2 that
-    list h offers cls. whole: the lists offer all that a query can't do without, so members that occur less than T - L times go. Members
-    of a query are dealt to eight heaps, a task holds the lists of one at a time. few: one task is enough."""
+    list h offers cls. whole: the lists are all the short ones of both but for `spare` lists at most, so members that occur less than
+    T - L - spare times go. Members of a query are dealt to eight heaps, a task holds the lists of one at a time. few: one task is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -192,11 +197,11 @@ def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) ->
             out = []
             cut = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
             for r in np.split(rows, cut[1:]):
-                n, sizes = int(r[0, 3]), dict(zip(r[:, 4].tolist(), r[:, 5].tolist(), strict=True))
+                n, sizes, spare = int(r[0, 3]), dict(zip(r[:, 4].tolist(), r[:, 5].tolist(), strict=True)), dict(zip(r[:, 4].tolist(), r[:, 6].tolist(), strict=True))
                 lists = np.split(r[:, 4], np.flatnonzero(r[1:, 2] != r[:-1, 2]) + 1)
                 for b, found in groupby(merge(*(x.tolist() for x in lists))):
                     m = sizes[b]
-                    least = _needed(n, m, percent) - max(_long(n, percent), _long(m, percent)) if whole else 1
+                    least = _needed(n, m, percent) - max(_long(n, percent), _long(m, percent)) - spare[b] if whole else 1
                     if least <= 1 or sum(1 for _ in found) >= least:
                         out.append((int(r[0, 0]), b, n, m))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "n", "n2"])
@@ -204,7 +209,7 @@ def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) ->
         for x in batches:
             if not x.num_rows:
                 continue
-            held.append(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], 1))
+            held.append(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], 1))
             last = held[-1][-1, :2]
             if (held[0][0, :2] != last).any():
                 rows = np.concatenate(held)
@@ -214,7 +219,7 @@ def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) ->
         if held:
             yield done(np.concatenate(held))
 
-    rows = offers.filter("cls <> c2").select(F.greatest("cls", "c2").alias("a"), F.pmod(F.xxhash64(F.least("cls", "c2")), F.lit(8)).alias("heap"), "h", F.when(F.col("cls") > F.col("c2"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.least("cls", "c2").alias("b"), F.when(F.col("cls") > F.col("c2"), F.col("n2")).otherwise(F.col("n")).alias("n2"))
+    rows = offers.filter("cls <> c2").select(F.greatest("cls", "c2").alias("a"), F.pmod(F.xxhash64(F.least("cls", "c2")), F.lit(8)).alias("heap"), "h", F.when(F.col("cls") > F.col("c2"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.least("cls", "c2").alias("b"), F.when(F.col("cls") > F.col("c2"), F.col("n2")).otherwise(F.col("n")).alias("n2"), (F.col("spare") if whole else F.lit(0)).alias("spare"))
     rows = rows.coalesce(1) if few else rows.repartition(partitions(offers.sparkSession), "a", "heap")
     return rows.sortWithinPartitions("a", "heap", "h", "b").mapInArrow(run, "a long, b long, n int, n2 int")
 
@@ -279,6 +284,8 @@ def _spread(lists: DataFrame, tried: DataFrame, groups: DataFrame, bits: DataFra
     it only. What the last step adds are pairs across components that no hub could join."""
 
     at = _apart(groups, lists)
+    # short lists of a class that aren't among `lists`: a pair may share as many of them
+    missing = lists.groupBy("cls").agg((F.max("n") - _long_column(percent) - F.count_distinct("h")).alias("missing"))
     for turn in range(hubs + 1):
         if turn < hubs:
             each = at.groupBy("h", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("cls", F.lit(turn)).alias("by"), "cls", "n", "pos")).alias("hub"))
@@ -286,9 +293,10 @@ def _spread(lists: DataFrame, tried: DataFrame, groups: DataFrame, bits: DataFra
             offers = at.join(hub, "h").filter("component <> first.component").select("h", "cls", "n", "pos", *(F.col(f"first.hub.{x}").alias(y) for x, y in (("cls", "c2"), ("n", "n2"), ("pos", "pos2"))))
             offers = offers.filter(_fits(percent))
         else:  # all that a pair shares is counted here, so places alone must not drop an offer
-            left, right = at.select("h", "cls", "n", "component").join(bits.drop("sketch"), "cls"), at.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("m2"))
+            at_last = at.join(missing, "cls")
+            left, right = at_last.select("h", "cls", "n", "component", "missing").join(bits.drop("sketch"), "cls"), at_last.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("m2"), F.col("missing").alias("missing2"))
             right = right.join(bits.select(F.col("cls").alias("c2"), *(F.col(x).alias(f"{x}_2") for x in BITS)), "c2")
-            offers = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_near(percent))
+            offers = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_near(percent)).withColumn("spare", F.least("missing", "missing2"))
         pairs = _likely(_merged(offers, percent, turn == hubs, turn < hubs and at.count() <= ROWS_A_TASK).join(tried, ["a", "b"], "left_anti"), bits, percent)
         if pairs.isEmpty():
             free(pairs)

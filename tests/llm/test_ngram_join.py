@@ -73,3 +73,52 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in similar_documents(df).collect())
     assert got == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (7, 1, 7)]
     assert similar_documents(df.limit(0)).count() == 0
+
+
+def test_pairs_whose_rare_shingles_lie_in_small_lists(spark):
+    """Two texts with 86 of 113 shingles in common: the first of their run lies in a long list, that of all others is short,
+    as the texts that make them frequent hold enough rarer ones."""
+    rnd = random.Random(12)
+    other = lambda k: [f"x{rnd.randrange(10**9)}" for _ in range(k)]
+    for seed in range(2):
+        run = [f"r{seed}_{k}" for k in range(90)]
+        docs = {1: [*run, *other(12)], 2: [*run, *other(15)]}
+        fill = [other(99) for _ in range(12)]  # 100 shingles: in between, by size
+        for k, f in enumerate(fill):
+            docs[10 + k] = [*f, *run[:5]]
+        for k in range(30):
+            docs[100 + k] = [*other(400), *run[1:], *(x for f in fill for x in f), *other(400)]
+        docs = {i: " ".join(w) for i, w in docs.items()}
+        df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(df).collect()} == brute(docs)
+
+
+def test_adversarial_lists(spark):
+    """Sets of single words, drawn so that pairs at the threshold share frequent words, rare words or both."""
+    rnd = random.Random(21)
+    docs, i = {}, 0
+    for g in range(40):
+        n = rnd.choice([20, 40, 100])
+        mine = [f"g{g}_{k}" for k in range(n)]
+        for _ in range(rnd.choice([2, 2, 3])):
+            drop = rnd.randrange(n // 8, n // 5)
+            cut = mine[drop:] if rnd.random() < 0.5 else rnd.sample(mine, n - drop)
+            docs[i := i + 1] = [*cut, *(f"u{i}_{k}" for k in range(rnd.randrange(n // 8)))]
+        for _ in range(rnd.choice([0, 9, 12])):  # make some words of the group frequent
+            docs[i := i + 1] = [*rnd.sample(mine, rnd.choice([1, 3, n // 2])), *(f"v{i}_{k}" for k in range(60))]
+    docs = {k: " ".join(rnd.sample(w, len(w))) for k, w in docs.items()}
+    sets = {k: set(t.split()) for k, t in docs.items()}
+    root = {k: k for k in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in docs:
+        for b in docs:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_documents(df, words=1).collect()} == {k: find(k) for k in docs}
