@@ -5,7 +5,7 @@ point changes the counts of a word's letters by at most 2 in sum (1, if the leng
 words of its own length within 2 and those one longer within 1 are looked for in k-d trees, one pair of lengths at a time, with boxes
 pruned by their L1 distance. Bits that hold the counts up to two then rule out most words of a leaf, and the order of letters decides.
 
-The upper part of the trees is fitted on a bounded sample (SAMPLE words by a hash), with at most CELLS cells in all; every word is in
+The upper part of the trees is fitted on a bounded sample (about SAMPLE words by a hash), with at most CELLS cells in all; every word is in
 the index, in the cell that the splits send it to, and each word is sent as a query to all cells within its distance. A cell of very
 many words is cut by a hash, and its queries go to each part, so no task holds more than that. Tasks build the lower part of their
 cell's tree and stream the queries. Words of one anagram group differ in more than one place, or in none; no group is skipped or cut.
@@ -30,7 +30,7 @@ from archivist.llm.blocks import gathered, index_and_queries
 from archivist.llm.common import free, partitions, stored, table
 
 LETTERS, TIMES, FACTOR = 5, 3, 2
-#: Words of a cell, about; cells in all; words that the upper part of the trees is fitted on.
+#: Words of a cell, about; cells in all; words that the upper part of the trees is fitted on, about.
 CELL, CELLS, SAMPLE = 1 << 14, 1 << 12, 1 << 17
 #: Words of a leaf, queries that a task searches at once, distinct words that a task counts before it passes them on.
 LEAF, PORTION, COUNTED = 16, 1 << 15, 500_000
@@ -158,7 +158,8 @@ def one_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _cells(words: DataFrame, total: int) -> dict[int, Tree]:
     """For lengths with many words the upper part of the tree, fitted on a sample."""
-    some = words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").toPandas()["word"]  # SAMPLE words at most
+    share = min(1.0, SAMPLE / max(total, 1))
+    some = words.filter(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30)).select("word").limit(2 * SAMPLE).toPandas()["word"]  # about SAMPLE words
     by_size: dict[int, list[bytes]] = {}
     for w in some:
         by_size.setdefault(len(w), []).append(w.encode("latin-1"))
