@@ -105,25 +105,50 @@ def keyword_query(q: str) -> tuple[str, list[list[str]]] | None:
     return ("prefix", terms) if terms else None
 
 
-def raw_terms(q: str) -> list[tuple[str, list[str], bool]]:
-    """(AND, OR or NOT; tokens; prefix) of the raw language's subset: words, "phrases", word* and the three operators.
-    Anything else is an error, which searches report as degraded."""
-    parts = re.findall(r'"[^"]*"\*?|[^\s"]+', q)
-    if q.count('"') % 2 or re.search(r"[():^{}]", q):
-        raise ValueError("not understood")
-    out, op = [], "AND"
+#: A term of a query: its tokens in a row, and whether the last may go on.
+Term = tuple[tuple[str, ...], bool]
+
+
+def alternatives(q: str, stemmed: bool = False) -> list[list[tuple[bool, list[Term]]]]:
+    """Alternatives of clauses of terms. A query holds where in one alternative each clause has all its terms, or not all of them if it is
+    negated. NOT binds tighter than AND, AND than OR, and words side by side more than these; operators are in capitals.
+    No alternative: an empty query. What the raw language has besides words, "phrases" and * is an error, which searches report as degraded."""
+    query = keyword_query(q)
+    if query is None:
+        return []
+    cut = lambda ts: tuple(stem(t) if stemmed else t for t in ts)
+    if query[0] == "prefix":
+        return [[(False, [(cut(t), True) for t in query[1]])]]
+    out: list[list[tuple[bool, list[Term]]]] = [[(False, [])]]
+    parts = re.findall(r'"[^"]*"\*?|\w+\*?|\S', q)
     for p in parts:
-        if p.upper() in ("AND", "OR", "NOT"):
-            op = p.upper()
+        here = out[-1][-1][1]
+        if p in ("AND", "OR", "NOT"):
+            if not here:
+                raise ValueError("an operator without a term")
+            if p == "OR":
+                out.append([(False, [])])
+            else:
+                out[-1].append((p == "NOT", []))
             continue
-        if p.upper() == "NEAR":
-            raise ValueError("NEAR is not supported")
         found = tokens(p.strip('"*'), False)
-        if not found:
-            raise ValueError("a term without words")
-        out.append((op, found, p.endswith("*")))
-        op = "AND"
-    if not out or op != "AND" or out[0][0] != "AND":
+        if not found or p == "NEAR":
+            raise ValueError("not understood")
+        here.append((cut(found), p.endswith("*")))
+    if not out[-1][-1][1]:
         raise ValueError("an operator without a term")
     return out
 
+
+def web_terms(q: str) -> list[list[tuple[bool, Term]]]:
+    """The web style: words and "phrases" as they are, `or` between alternatives, - before what must not occur. Never an error."""
+    out: list[list[tuple[bool, Term]]] = [[]]
+    for minus, phrase, word in re.findall(r'(-?)"([^"]*)"?|(\S+)', q):
+        if word.lower() == "or":
+            if out[-1]:
+                out.append([])
+            continue
+        found = tokens(phrase or word, False)
+        if found:
+            out[-1].append((bool(minus) or word.startswith("-"), (tuple(found), False)))
+    return [a for a in out if a]

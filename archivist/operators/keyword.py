@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivist.functions.text import keyword_query, plain_tokens, raw_terms, stem
+from archivist.functions.text import Term, alternatives, plain_tokens
 from archivist.operators.vectors import cutoff, knn, neighbours_wanted, ranked, reciprocal_ranks
 
 K1, B = 1.2, 0.75
@@ -50,36 +52,20 @@ def _holds(words: Column, term: list[str], prefix: bool) -> Column:
 
 def matching(docs: DataFrame, q: str, words: Column | None = None, text_col: str = "text") -> tuple[DataFrame, bool]:
     """(documents that a query matches, degraded). A query that isn't understood matches nothing and is degraded."""
-    query = keyword_query(q)
-    if query is None:
-        return docs.limit(0), False
     words = plain_tokens(F.col(text_col)) if words is None else words
-    kind, terms = query
-    if kind == "prefix":
-        return docs.filter(reduce(lambda a, b: a & b, [_holds(words, t, True) for t in terms])), False
     try:
-        parsed = raw_terms(q)
+        wanted = alternatives(q)
     except ValueError:
         return docs.limit(0), True
-    hold = None
-    for op, term, prefix in parsed:
-        one = _holds(words, term, prefix)
-        hold = one if hold is None else hold & one if op == "AND" else hold | one if op == "OR" else hold & ~one
-    return docs.filter(hold), False
-
-
-def updated(postings_: DataFrame, changed: DataFrame) -> DataFrame:
-    """Postings with those of the changed ids replaced; ids that have none any more are gone."""
-    return postings_.join(changed.select("id").distinct(), "id", "left_anti").unionByName(changed.filter("term is not null"))
+    if not wanted:
+        return docs.limit(0), False
+    return docs.filter(holding(wanted, lambda term: _holds(words, list(term[0]), term[1]))), False
 
 
-def search(postings_: DataFrame, q: str, limit: int = 200, stemmed: bool = False) -> tuple[DataFrame, bool]:
-    """Ranked (id, score) of documents with all words of the query, and whether the search was degraded."""
-    query = keyword_query(q)
-    terms = sorted({stem(t) if stemmed else t for term in (query[1] if query and query[0] == "prefix" else []) for t in term})
-    if not terms:
-        return postings_.select("id", F.lit(0.0).alias("score")).limit(0), bool(query)
-    return bm25(postings_, terms, limit), False
+def holding(wanted: list[list[tuple[bool, list[Term]]]], there: Callable[[Term], Column]) -> Column:
+    """Whether a query holds, given a condition for each term."""
+    clause = lambda negated, terms: ~reduce(and_, map(there, terms)) if negated else reduce(and_, map(there, terms))
+    return reduce(or_, [reduce(and_, [clause(*c) for c in clauses]) for clauses in wanted])
 
 
 def hybrid(keyword: DataFrame | None, vectors: DataFrame | None, query_vector: list[float] | None, limit: int) -> tuple[DataFrame | None, str]:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from archivist.functions.embed import embed_column
 from archivist.functions.text import plain_tokens, token_column
 from archivist.operators import keyword as k
+from archivist.operators import keyword_index as ki
 from archivist.operators import vectors as vec
 from archivist.plans import views as v
+from archivist.sources.store import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,10 +136,106 @@ def rrf_merge(s, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _fields(s, d):
+    """(id, fields) of the documents, one field."""
+    return v.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.array(plain_tokens(F.coalesce("text", F.lit("")))).alias("fields"))
+
+
+def _word(w: str, prefix: bool = False) -> str:
+    return f"len(list_filter(w, lambda x: {'starts_with(x, ' if prefix else '(x ='} '{w}')))"
+
+
+def _pair(a: str, b: str, prefix: bool = False) -> str:
+    last = f"starts_with(w[i + 1], '{b}')" if prefix else f"w[i + 1] = '{b}'"
+    return f"len(list_filter(range(1, len(w)), lambda i: w[i] = '{a}' AND {last}))"
+
+
+def _ranked_sql(units: list[str], holds: str, scored: list[int], documents: str = "SELECT doc_id, text FROM documents") -> str:
+    """BM25 over units, each an expression of its frequency in the words w."""
+    names = ", ".join(f"{u} AS t{n}" for n, u in enumerate(units))
+    held = ", ".join(f"count(*) FILTER (t{n} > 0) AS d{n}" for n in range(len(units)))
+    score = " + ".join(f"greatest(1e-6, ln((n - d{u} + 0.5) / (d{u} + 0.5))) * t{u} * 2.2 / (t{u} + 1.2 * (0.25 + 0.75 * length / (tokens / n)))" for u in scored)
+    return f"""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM ({documents})),
+t AS (SELECT id, len(w) AS length, {names} FROM d), whole AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(length) AS DOUBLE) AS tokens, {held} FROM t)
+SELECT id, round({score}, 6) AS score FROM t, whole WHERE {holds} ORDER BY {score} DESC, id LIMIT 50"""
+
+
+def _ranked(docs, q):
+    return ki.ranked_search(ki.positional(docs), ki.totals(docs), q, 50)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_ranked_sql([_word("the", True), _word("idi", True)], "t0 > 0 AND t1 > 0", [0, 1]))
+def fts_ranked_prefix(s, d):
+    return _ranked(_fields(s, d), "the idi")
+
+
+@query(_ranked_sql([_pair("of", "the"), _word("trash"), _word("worthless")], "t0 > 0 AND t1 > 0 AND NOT t2 > 0", [0, 1]))
+def fts_ranked_phrase(s, d):
+    return _ranked(_fields(s, d), '"of the" AND trash NOT worthless')
+
+
+@query(_ranked_sql([_word("idiots"), _pair("this", "i", True), _word("wor", True)], "t0 > 0 OR (t1 > 0 AND t2 > 0)", [0, 1, 2]))
+def fts_ranked_or(s, d):
+    return _ranked(_fields(s, d), 'idiots OR "this i"* wor*')
+
+
+@query(_ranked_sql([_pair("co", "th", True)], "t0 > 0", [0]).replace("lower(coalesce(text, ''))", "replace(lower(coalesce(text, '')), 'of the', 'co-the')"))
+def fts_ranked_joined(s, d):
+    """A word of several tokens is a phrase whose last token goes on."""
+    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "of the", "co-the")
+    return _ranked(v.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.array(plain_tokens(text)).alias("fields")), "co-th")
+
+
+_WEB = "(CASE WHEN {0} > 0 THEN list_sum(list_transform(range(1, {0} + 1), lambda j: 1.0 / (j * j))) * 0.1 / 1.64493406685 ELSE 0 END)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT id, {_word("worthless")} AS t0, {_pair("of", "the")} AS t1, {_word("trash")} AS t2, {_word("idiots")} AS t3 FROM d)
+SELECT id, round(({" + ".join(_WEB.format(f"t{n}") for n in (0, 1, 3))}) / 3, 6) AS score FROM t WHERE (t0 > 0 AND t1 > 0 AND NOT t2 > 0) OR t3 > 0 ORDER BY ({" + ".join(_WEB.format(f"t{n}") for n in (0, 1, 3))}) / 3 DESC, id LIMIT 50""")
+def fts_web(s, d):
+    return ki.web_search(ki.positional(_fields(s, d)), 'worthless "of the" -trash or idiots', 50).withColumn("score", F.round("score", 6))
+
+
+def _indexed_twice(s, d):
+    """An index of all documents, then brought up to what became of them: German ones went, French ones got an addendum."""
+    index = ki.KeywordIndex(s, scratch(s))
+    index.sync(_fields(s, d))
+    text = F.when(F.col("lang") == "fr", F.concat_ws(" ", "text", F.lit("addendum the addendum"))).otherwise(F.coalesce("text", F.lit("")))
+    now = v.read(s, d, "documents").filter("lang <> 'de'").select(F.col("doc_id").alias("id"), F.array(plain_tokens(text)).alias("fields"))
+    return index, index.sync(now)
+
+
+_NOW = "SELECT doc_id, CASE WHEN lang = 'fr' THEN concat_ws(' ', text, 'addendum the addendum') ELSE text END AS text FROM documents WHERE lang <> 'de'"
+
+
+@query("SELECT CAST(0 AS BIGINT) AS added, count(*) FILTER (lang = 'fr') AS changed, count(*) FILTER (lang = 'de') AS removed, count(*) FILTER (lang NOT IN ('fr', 'de')) AS same, count(*) FILTER (lang <> 'de') AS indexed FROM documents")
+def keyword_index_sync(s, d):
+    index, counts = _indexed_twice(s, d)
+    return s.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()]).crossJoin(index.documents().agg(F.count("*").alias("indexed")))
+
+
+@query(f"WITH now AS ({_NOW}) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM now) WHERE term <> '' GROUP BY 1, 2) GROUP BY 1")
+def keyword_index_terms(s, d):
+    return _indexed_twice(s, d)[0].postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(_ranked_sql([_word("the", True), _word("idi", True)], "t0 > 0 AND t1 > 0", [0, 1], _NOW))
+def keyword_index_ranked(s, d):
+    index = _indexed_twice(s, d)[0]
+    return ki.ranked_search(index.postings(), index.totals(), "the idi", 50)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_ranked_sql([_pair("addendum", "the")], "t0 > 0", [0], _NOW))
+def keyword_index_compacted(s, d):
+    index = _indexed_twice(s, d)[0]
+    index.compact()
+    return ki.ranked_search(index.postings(), index.totals(), '"addendum the"', 50)[0].withColumn("score", F.round("score", 6))
+
+
 @query(None)
 def bm25_stemmed(s, d):
-    p = k.postings(v.read(s, d, "documents"), "doc_id", token_column(F.col("text")))
-    return k.search(p, "trashes idiots", 20, stemmed=True)[0]
+    docs = v.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.array(token_column(F.coalesce("text", F.lit("")))).alias("fields"))
+    return ki.ranked_search(ki.positional(docs), ki.totals(docs), "trashes idiots", 20, stemmed=True)[0]
 
 
 @query(None)
