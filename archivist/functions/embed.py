@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,28 +26,37 @@ def features(text: str) -> set[str]:
     return found
 
 
-def fnv1a(token: str, seed: int) -> int:
-    h = OFFSET ^ seed
-    for ch in token:
-        h = (h ^ ord(ch)) * PRIME & 0xFFFFFFFF
+def fnv1a(tokens: list[str], seed: int) -> np.ndarray:
+    """The hash of each token, of ASCII characters."""
+    size = np.array([len(t) for t in tokens], np.int64)
+    chars = np.zeros((len(tokens), int(size.max(initial=0))), np.uint64)
+    chars[np.arange(chars.shape[1])[None, :] < size[:, None]] = np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
+    h = np.full(len(tokens), OFFSET ^ seed, np.uint64)
+    for k in range(chars.shape[1]):
+        h = np.where(k < size, ((h ^ chars[:, k]) * np.uint64(PRIME)) & np.uint64(0xFFFFFFFF), h)
     return h
 
 
-@lru_cache(maxsize=200_000)
-def places(token: str, dimensions: int) -> tuple[tuple[int, float], ...]:
-    weight = 0.5 if len(token) <= 3 else 1.0
-    return tuple((fnv1a(token, k + 1) % dimensions, weight if fnv1a(token, k + 100) & 1 else -weight) for k in range(PROJECTIONS))
+def embed_all(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A unit vector for each text, or zeros for one without words. Each distinct token is hashed once."""
+    found = [features(t or "") for t in texts]
+    number = {t: k for k, t in enumerate(set().union(*found))}
+    tokens = list(number)
+    of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    token = np.array([number[t] for f in found for t in sorted(f)], np.int64)  # sorted: sums don't depend on the order of a set
+    weight = np.where(np.array([len(t) for t in tokens], np.int64) <= 3, 0.5, 1.0)
+    v = np.zeros((len(texts), dimensions))
+    for k in range(PROJECTIONS if tokens else 0):
+        place = (fnv1a(tokens, k + 1) % np.uint64(dimensions)).astype(np.int64)
+        signed = np.where(fnv1a(tokens, k + 100) & np.uint64(1), weight, -weight)
+        np.add.at(v, (of, place[token]), signed[token])
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, norm, out=v, where=norm > 0).astype(np.float32)
 
 
 def embed(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A unit vector, or zeros for a text without words."""
-    v = np.zeros(dimensions)
-    for t in features(text or ""):
-        for at, w in places(t, dimensions):
-            v[at] += w
-    norm = np.sqrt((v * v).sum())
-    return (v / norm if norm else v).astype(np.float32)
+    return embed_all([text], dimensions)[0]
 
 
 def embed_column(c: Column, dimensions: int = DIMENSIONS) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([embed(t, dimensions) for t in s]), "array<float>")(c)
+    return F.pandas_udf(lambda s: pd.Series([*embed_all(s.tolist(), dimensions)], dtype=object), "array<float>")(c)

@@ -83,6 +83,8 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(F.floor(seconds)), F.try_to_timestamp(c))
 
 
-def embedding_text(author: Column, code: Column, key: Column, kind: Column) -> Column:
-    """What a media item is embedded by; collections are left out, so that both libraries share a vector."""
-    return F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in (author, code, key, kind)])
+def comment_key(base: Column, author: Column, at: Column, fbid: Column, comment: Column, content: Column) -> Column:
+    """The identity of a liked comment: its own id, else the comment's in the address, else the post with author, time in milliseconds and text."""
+    slug = F.pandas_udf(lambda s: s.map(comment_slug), "string")(F.coalesce(content, F.lit("")))
+    told = F.concat_ws(":", F.lit("comment"), base, F.lower(F.coalesce(author, F.lit("unknown"))), F.coalesce(F.unix_millis(at), F.lit(0)).cast("string"), slug)
+    return F.coalesce(F.concat(F.lit("comment:fbid:"), blank_to_null(fbid)), F.concat(F.lit("comment:id:"), blank_to_null(comment)), told)

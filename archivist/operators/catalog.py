@@ -113,7 +113,7 @@ def filtered(items_: DataFrame, request: Browse, others: DataFrame | None = None
     if request.membership == "both" and others is not None:
         out = out.join(others.select(F.col("media_id").alias("id")), "id", "left_semi")
     if ranked is not None:
-        out = out.join(F.broadcast(ranked.limit(RANKED_CAP)), "id")  # at most RANKED_CAP rows
+        out = out.join(F.broadcast(ranked), "id")  # a search cuts at RANKED_CAP and says so
     elif request.q:
         out = out.filter(like([c for c in ("author_username", "href", "name", "shortcode", "media_key") if c in items_.columns], request.q))
     return out

@@ -1,4 +1,4 @@
-"""Keyword search: postings, BM25 ranking, prefix conjunctions, upkeep and hybrid retrieval."""
+"""Keyword search without an index: counts of terms, BM25 over whole words, and matching of queries."""
 
 from __future__ import annotations
 
@@ -10,30 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivist.functions.text import Term, alternatives, plain_tokens
-from archivist.operators.vectors import cutoff, knn, neighbours_wanted, ranked, reciprocal_ranks
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf)"""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def term_counts(tokens: Column, docs: DataFrame) -> DataFrame:
+    """(term, df, cf): in how many documents a term occurs, and how often. One shuffle of terms, counted before it."""
+    marks = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
+    found = docs.select(F.explode(marks).alias("m"))
+    return found.groupBy("m.term").agg(F.sum("m.d").cast("long").alias("df"), F.sum(1 - F.col("m.d")).cast("long").alias("cf"))
 
 
-def lengths(postings_: DataFrame) -> DataFrame:
-    return postings_.groupBy("id").agg(F.sum("tf").alias("length"))
+def how_often(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
 
 
-def bm25(postings_: DataFrame, terms: list[str], limit: int, documents: DataFrame | None = None) -> DataFrame:
-    """(id, score), best first: documents that hold every term. Higher is better; ties by id."""
-    size = lengths(postings_)
-    whole = size.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    hits = postings_.filter(F.col("term").isin(*terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("_df"))  # one row for each query term
-    idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    scored = hits.join(F.broadcast(df), "term").join(size, "id").crossJoin(F.broadcast(whole)).withColumn("_s", idf * tf)  # one row of totals
-    return scored.groupBy("id").agg(F.sum("_s").alias("score"), F.count("*").alias("_k")).filter(F.col("_k") == len(set(terms))).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+def bm25(docs: DataFrame, id_col: str, tokens: Column, terms: list[str], limit: int) -> DataFrame:
+    """(id, score), best first: documents that hold every term, without an index. Higher is better; ties by id. Documents without tokens don't count.
+
+    Both the totals and the hits are read from narrow rows of each document, so only sums are shuffled."""
+    wanted = sorted(set(terms))
+    words = docs.select(F.col(id_col).alias("id"), tokens.alias("_w"))
+    each = words.select("id", F.size("_w").alias("length"), *[how_often(F.col("_w"), t).alias(f"t{k}") for k, t in enumerate(wanted)]).filter("length > 0")
+    whole = each.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"), *[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(wanted))])
+    hits = each.filter(reduce(and_, [F.col(f"t{k}") > 0 for k in range(len(wanted))])).crossJoin(F.broadcast(whole))  # one row of totals
+
+    def weight(k: int) -> Column:
+        df, tf = F.col(f"d{k}"), F.col(f"t{k}")
+        return F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("_avg"))))
+
+    return hits.select("id", reduce(lambda x, y: x + y, [weight(k) for k in range(len(wanted))]).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def _holds(words: Column, term: list[str], prefix: bool) -> Column:
@@ -68,21 +74,6 @@ def holding(wanted: list[list[tuple[bool, list[Term]]]], there: Callable[[Term],
     return reduce(or_, [reduce(and_, [clause(*c) for c in clauses]) for clauses in wanted])
 
 
-def hybrid(keyword: DataFrame | None, vectors: DataFrame | None, query_vector: list[float] | None, limit: int) -> tuple[DataFrame | None, str]:
-    """(hits of (id, score, source), mode) from bounded keyword hits and a vector index, either may be absent."""
-    near = None
-    if vectors is not None and query_vector is not None:
-        near = cutoff(knn(vectors, query_vector, neighbours_wanted(limit)), limit)
-    words = ranked(keyword, F.desc("score"), F.asc("id")) if keyword is not None else None
-    spots = ranked(near, F.asc("distance"), F.asc("id")) if near is not None else None
-    mode = "hybrid" if words is not None and spots is not None else "fts" if words is not None else "vec" if spots is not None else "none"
-    if mode == "none":
-        return None, mode
-    some = words if words is not None else spots
-    empty = some.limit(0)
-    return reciprocal_ranks(words if words is not None else empty, spots if spots is not None else empty, limit), mode
-
-
 def provider(requested: str | None, enabled: dict[str, bool], preferred: str | None = None) -> tuple[str, str | None]:
     """The embedding provider to use and why it isn't the requested one. The offline one is always there."""
     order = [p for p in (preferred, "openai", "voyage", "ollama") if p and p != "local" and enabled.get(p)]

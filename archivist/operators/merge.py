@@ -19,8 +19,8 @@ def merge_batch(items: DataFrame, at: str, order: list[str], lists: bool = True,
     return out
 
 
-def merge_state(stored: DataFrame, incoming: DataFrame, import_id: int, at: str, lists: bool = True) -> DataFrame:
-    """The full outer join of stored and incoming rows by media_key.
+def merge_state(stored: DataFrame, incoming: DataFrame, import_id: int, at: str, lists: bool = True, last: tuple[str, ...] = ()) -> DataFrame:
+    """The full outer join of stored and incoming rows by media_key. last: more columns of which the incoming value wins.
 
     The last author that isn't blank and the last type that isn't unknown win, the last href always, the first
     shortcode stays, the later time counts; outcome is added, updated, skipped or kept (not in the import)."""
@@ -36,6 +36,7 @@ def merge_state(stored: DataFrame, incoming: DataFrame, import_id: int, at: str,
     changes = [~author.eqNullSafe(F.col("s.author_username")), ~kind.eqNullSafe(F.col("s.media_type")), ~href.eqNullSafe(F.col("s.href")), ~when.eqNullSafe(F.col(f"s.{at}"))]
     if lists:
         changes.append(F.size(lists_) > F.size(F.coalesce("s.collections", F.array().cast("array<string>"))))
+    changes += [new & ~F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in last]
     changed = changes[0]
     for c in changes[1:]:
         changed = changed | c
@@ -43,6 +44,7 @@ def merge_state(stored: DataFrame, incoming: DataFrame, import_id: int, at: str,
     columns = [F.coalesce("s.media_key", "i.media_key").alias("media_key"), href.alias("href"), shortcode.alias("shortcode"), kind.alias("media_type"), author.alias("author_username"), when.alias(at)]
     if lists:
         columns.append(lists_.alias("collections"))
+    columns += [F.when(new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in last]
     first = F.coalesce(F.col("s.first_seen_import_id"), F.lit(import_id).cast("long"))
     last = F.when(new, F.lit(import_id).cast("long")).otherwise(F.col("s.last_seen_import_id"))
     return both.select(*columns, first.alias("first_seen_import_id"), last.alias("last_seen_import_id"), outcome.alias("outcome"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +23,7 @@ def l2(a: Column, b: Column) -> Column:
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, distance) of the k nearest; ties by id. Vectors of another length are left out."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = F.from_json(F.lit(json.dumps([float(x) for x in query])), "array<double>")  # folds to one constant; an array of many literals would not compile
     fit = vectors.filter(F.size(vector_col) == len(query))
     return fit.select(F.col(id_col).alias("id"), l2(F.col(vector_col).cast("array<double>"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
@@ -97,7 +99,7 @@ def reciprocal_ranks(keyword: DataFrame, vector: DataFrame, limit: int, k: int =
     both = keyword.select("id", "rank", F.lit(0).alias("_list")).unionByName(vector.select("id", "rank", F.lit(1).alias("_list")))
     merged = both.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("_list", "rank")).alias("_first"), F.count("*").alias("_n"))
     source = F.when(F.col("_n") > 1, "both").when(F.col("_first._list") == 0, "fts").otherwise("vec")
-    return merged.withColumn("source", source).orderBy(F.desc("score"), "_first._list", "_first.rank", "id").limit(limit).select("id", "score", "source")
+    return merged.withColumn("source", source).orderBy(F.desc("score"), "_first._list", "_first.rank", "id").limit(limit).select("id", "score", "source", F.col("_first").alias("_at"))
 
 
 def ranked(hits: DataFrame, *order: Column) -> DataFrame:

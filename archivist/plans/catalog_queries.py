@@ -167,6 +167,18 @@ def overview_counts(s, d):
     return both.agg(F.count_if(has_s).alias("saves"), F.count_if(has_l).alias("likes"), F.count_if(has_s & has_l).alias("overlap"), F.count_if(has_s & ~has_l).alias("only_saved"), F.count_if(~has_s & ~has_l).alias("neither"))
 
 
+@query("""SELECT (SELECT count(*) FROM saved) AS total_items, (SELECT count(*) FROM saved JOIN media ON id = media_id WHERE starts_with(media_type, 'PROMO')) AS posts, (SELECT count(*) FROM saved JOIN media ON id = media_id WHERE starts_with(media_type, 'ECONOMY')) AS reels,
+(SELECT count(DISTINCT author_username) FROM saved JOIN media ON id = media_id) AS authors, (SELECT count(*) FROM liked) AS total_likes, (SELECT count(*) FROM liked JOIN media ON id = media_id WHERE starts_with(media_type, 'PROMO')) AS liked_posts,
+(SELECT count(*) FROM liked JOIN media ON id = media_id WHERE starts_with(media_type, 'ECONOMY')) AS liked_reels, (SELECT count(*) FROM liked JOIN media ON id = media_id WHERE starts_with(media_type, 'STANDARD')) AS liked_stories, CAST(0 AS BIGINT) AS liked_comments, (SELECT count(*) FROM imports) AS import_count""")
+def overview_all(s, d):
+    """The ten counts of the overview: one pass over the media with both memberships, and one over the imports."""
+    both = v.media(s, d).join(v.saved(s, d).select(F.col("media_id").alias("id"), F.lit(True).alias("s")), "id", "left").join(v.liked(s, d).select(F.col("media_id").alias("id"), F.lit(True).alias("l")), "id", "left")
+    has = {"s": F.col("s").isNotNull(), "l": F.col("l").isNotNull()}
+    of = lambda kind: F.col("media_type").startswith(kind)
+    counts = both.agg(F.count_if(has["s"]).alias("total_items"), F.count_if(has["s"] & of("PROMO")).alias("posts"), F.count_if(has["s"] & of("ECONOMY")).alias("reels"), F.count_distinct(F.when(has["s"], F.col("author_username"))).alias("authors"), F.count_if(has["l"]).alias("total_likes"), F.count_if(has["l"] & of("PROMO")).alias("liked_posts"), F.count_if(has["l"] & of("ECONOMY")).alias("liked_reels"), F.count_if(has["l"] & of("STANDARD")).alias("liked_stories"), F.lit(0).cast("long").alias("liked_comments"))
+    return counts.crossJoin(v.imports(s, d).agg(F.count("*").alias("import_count")))  # one row each
+
+
 @query("SELECT id, coalesce((SELECT string_agg(collection_name, chr(31) ORDER BY collection_name) FROM item_collections WHERE item_id = id), '') AS collections FROM media")
 def search_rows(s, d):
     return c.search_rows(v.media(s, d), v.item_collections(s, d)).select("id", "collections")

@@ -8,7 +8,9 @@ from archivist.functions.embed import embed_column
 from archivist.functions.text import plain_tokens, token_column
 from archivist.operators import keyword as k
 from archivist.operators import keyword_index as ki
+from archivist.operators import vector_index as vi
 from archivist.operators import vectors as vec
+from archivist.operators.hybrid import hybrid_search
 from archivist.plans import views as v
 from archivist.sources.store import scratch
 
@@ -100,10 +102,6 @@ def vec_width_check(s, d):
     return vec.integrity(_indexed(s, d), media, 64)
 
 
-def _postings(s, d):
-    return k.postings(v.read(s, d, "documents"), "doc_id", plain_tokens(F.col("text")))
-
-
 _POSTINGS = "postings AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2)"
 _BM25 = f"""{_POSTINGS}, size AS (SELECT id, sum(tf) AS length FROM postings GROUP BY 1), whole AS (SELECT count(*) AS n, avg(length) AS mean FROM size),
 df AS (SELECT term, count(*) AS df FROM postings WHERE term IN ('the', 'and', 'trash') GROUP BY 1),
@@ -112,12 +110,16 @@ scored AS (SELECT p.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (t
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY 1")
 def fts_postings(s, d):
-    return _postings(s, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return k.term_counts(plain_tokens(F.col("text")), v.read(s, d, "documents"))
+
+
+def _bm25(s, d, limit):
+    return k.bm25(v.read(s, d, "documents"), "doc_id", plain_tokens(F.col("text")), _TERMS, limit)
 
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 20")
 def bm25_topk(s, d):
-    return k.bm25(_postings(s, d), _TERMS, 20).withColumn("score", F.round("score", 6))
+    return _bm25(s, d, 20).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: starts_with(t, 'idi'))) > 0
@@ -132,8 +134,91 @@ merged AS (SELECT id, sum(1.0 / (60 + r)) AS score, CASE WHEN count(*) > 1 THEN
 FROM (SELECT id, r, 0 AS l FROM f UNION ALL SELECT id, r, 1 FROM w) GROUP BY 1)
 SELECT id, round(score, 6) AS score, source FROM merged ORDER BY merged.score DESC, l, coalesce(fr, r), id LIMIT 20""")
 def rrf_merge(s, d):
-    hits, _ = k.hybrid(k.bm25(_postings(s, d), _TERMS, 20), _others(s, d), _first(s, d), 20)
-    return hits.withColumn("score", F.round("score", 6))
+    found = hybrid_search(s, "", 20, lambda q, n: (_bm25(s, d, n), False), {"local": lambda q, n: _near(s, d, n)})
+    return found.hits.select("id", F.round("score", 6).alias("score"), "source")
+
+
+def _near(s, d, limit):
+    return vec.cutoff(vec.knn(_others(s, d), _first(s, d), vec.neighbours_wanted(limit)), limit)
+
+
+_MODE = f"""{_BM25.replace("HAVING count(*) = 3", "HAVING count(*) = 3 AND {words}")}, {_DIST}, f AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM (SELECT * FROM scored ORDER BY round(score, 9) DESC, id LIMIT 40)),
+near AS (SELECT * FROM hits WHERE {{near}} ORDER BY distance, id LIMIT 80), w AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS r FROM (SELECT * FROM near WHERE distance <= least(1.22, (SELECT min(distance) FROM near) + 0.12) ORDER BY distance, id LIMIT 40)),
+merged AS (SELECT id, sum(1.0 / (60 + r)) AS score, CASE WHEN count(*) > 1 THEN 'both' WHEN min(l) = 0 THEN 'fts' ELSE 'vec' END AS source, min(l) AS l, min(CASE WHEN l = 0 THEN r END) AS fr, min(r) AS r
+FROM (SELECT id, r, 0 AS l FROM f UNION ALL SELECT id, r, 1 FROM w) GROUP BY 1),
+ranked AS (SELECT id, CAST(row_number() OVER (ORDER BY score DESC, l, coalesce(fr, r), id) AS INTEGER) AS rank, round(score, 6) AS score, source FROM merged)
+SELECT *, '{{mode}}' AS mode, (SELECT count(*) FROM merged) > 40 OR (SELECT count(*) FROM f) >= 40 OR (SELECT count(*) FROM w) >= 40 AS truncated FROM ranked WHERE rank <= 40"""
+
+
+def _mode(s, d, keyword, near, requested=None):
+    found = hybrid_search(s, "", 40, keyword, near, requested)
+    return found.hits.select("id", "rank", F.round("score", 6).alias("score"), "source", F.lit(found.mode).alias("mode"), F.lit(found.truncated).alias("truncated"))
+
+
+def _failing(q, n):
+    raise ConnectionError("no network")
+
+
+@query("WITH " + _MODE.replace("{words}", "true").replace("{near}", "true").replace("{mode}", "hybrid"))
+def hybrid_mode_both(s, d):
+    return _mode(s, d, lambda q, n: (_bm25(s, d, n), False), {"local": lambda q, n: _near(s, d, n)})
+
+
+@query("WITH " + _MODE.replace("{words}", "true").replace("{near}", "false").replace("{mode}", "fts"))
+def hybrid_mode_fts(s, d):
+    """The offline index isn't there."""
+    return _mode(s, d, lambda q, n: (_bm25(s, d, n), False), {})
+
+
+@query("WITH " + _MODE.replace("{words}", "false").replace("{near}", "true").replace("{mode}", "vec"))
+def hybrid_mode_vec(s, d):
+    """The keyword search was degraded and gives nothing."""
+    return _mode(s, d, lambda q, n: (_bm25(s, d, n).limit(0), True), {"local": lambda q, n: _near(s, d, n)})
+
+
+@query("WITH " + _MODE.replace("{words}", "true").replace("{near}", "true").replace("{mode}", "hybrid-local-fallback"))
+def hybrid_mode_fallback(s, d):
+    """The provider that was asked for fails, so the offline index answers."""
+    return _mode(s, d, lambda q, n: (_bm25(s, d, n), False), {"local": lambda q, n: _near(s, d, n), "voyage": _failing}, "voyage")
+
+
+@query("WITH " + _MODE.replace("{words}", "false").replace("{near}", "true").replace("{mode}", "vec-local-fallback"))
+def hybrid_mode_vec_fallback(s, d):
+    """A provider that isn't set up is asked for, and no document holds the words."""
+    return _mode(s, d, lambda q, n: (None, False), {"local": lambda q, n: _near(s, d, n)}, "openai")
+
+
+def _media_items(s, d, members, kinds=None):
+    """(id, text) of a membership's media."""
+    media = v.media(s, d).join(members(s, d).select(F.col("media_id").alias("id")), "id", "left_semi")
+    media = media if kinds is None else media.filter(F.col("media_type").startswith(kinds))
+    return media.select("id", vi.media_text(F.col("author_username"), F.lit(None).cast("string"), F.col("media_key"), F.col("media_type")).alias("text"))
+
+
+@query(v.SQL + """, kind AS (SELECT media_id, (SELECT any_value(media_type) FROM media WHERE id = media_id) AS media_type FROM saved),
+n AS (SELECT count(*) AS total, count(*) FILTER (starts_with(media_type, 'PROMO')) AS promo, count(*) FILTER (NOT starts_with(media_type, 'PROMO') AND media_id IN (SELECT media_id FROM liked)) AS reused, count(*) FILTER (NOT starts_with(media_type, 'PROMO') AND media_id NOT IN (SELECT media_id FROM liked)) AS rest FROM kind)
+SELECT 'likes' AS run, (SELECT count(*) FROM liked) AS embedded, CAST(0 AS BIGINT) AS reused, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM liked) AS total FROM n
+UNION ALL SELECT 'promo', promo, 0, 0, promo FROM n UNION ALL SELECT 'saves', rest, reused, promo, total FROM n UNION ALL SELECT 'again', 0, 0, total, total FROM n""")
+def vector_index_runs(s, d):
+    """Likes are embedded; then some saves; then all saves, where what is there is skipped and what likes have is taken over; then nothing is left."""
+    at = scratch(s)
+    likes, saves = (vi.VectorIndex(s, at, name) for name in ("likes", "saves"))
+    runs = {"likes": likes.sync(_media_items(s, d, v.liked)), "promo": saves.sync(_media_items(s, d, v.saved, "PROMO"))}
+    runs |= {name: saves.sync(_media_items(s, d, v.saved), other=likes) for name in ("saves", "again")}
+    return s.createDataFrame([(name, n["embedded"], n["reused"], n["skipped"], n["total"]) for name, n in runs.items()], "run string, embedded long, reused long, skipped long, total long")
+
+
+@query(v.SQL + ", have AS (SELECT id FROM media WHERE id IN (SELECT media_id FROM saved) OR starts_with(media_type, 'ECONOMY')) SELECT (SELECT count(*) FROM saved) AS missing_before, CAST(0 AS BIGINT) AS missing, (SELECT count(*) FROM have WHERE id NOT IN (SELECT media_id FROM saved)) AS orphans_before, CAST(0 AS BIGINT) AS orphans")
+def vector_index_healed(s, d):
+    """An index of other items: what is missing is embedded, vectors of no item go."""
+    index, items = vi.VectorIndex(s, scratch(s), "saves"), _media_items(s, d, v.saved)
+    others = v.media(s, d).filter(F.col("media_type").startswith("ECONOMY")).join(items, "id", "left_anti")
+    index.sync(others.select("id", F.col("media_key").alias("text")))
+    before = index.gaps(items).select(F.col("missing").alias("missing_before"), F.col("orphans").alias("orphans_before"))
+    before.write.parquet(path := scratch(s))
+    index.sync(items)
+    index.remove(index.vectors().join(items, "id", "left_anti"))
+    return s.read.parquet(path).crossJoin(index.gaps(items))  # one row each
 
 
 def _fields(s, d):

@@ -20,6 +20,8 @@ RAW = "archive string, entry_ord int, item_ord int, href string, author string,
 _ADDRESS = re.compile(i.SITE + r"/(?:p|reel|reels|tv|stories)/", re.I)
 #: Buckets of likes by the key of their list. Fixed values.
 BUCKETS = {"likes_media_likes": "liked_posts", "likes_comment_likes": "liked_comments", "story_activities_story_likes": "story_likes", "liked_posts": "liked_posts", "liked_comments": "liked_comments"}
+#: Rows that a task holds before it passes them on.
+ROWS = 20_000
 UNNAMED, FROM_FILE = "Unnamed collection", "From collections file"
 
 
@@ -215,26 +217,35 @@ def raw_items(files: DataFrame, library: str) -> DataFrame:
     """Rows of RAW from files of (archive, entry_ord, name, content, source)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RAW.split(", ")]
+        columns, out = [c.split()[0] for c in RAW.split(", ")], []
+
+        def flush() -> pd.DataFrame:
+            rows = pd.DataFrame(out, columns=columns).astype({"entry_ord": "int32", "item_ord": "int32"})
+            out.clear()
+            return rows
+
         for b in batches:
             for f in b.itertuples():
                 try:
                     doc = json.loads(bytes(f.content).decode("utf-8-sig"))
                 except (ValueError, RecursionError) as e:
-                    yield pd.DataFrame([(f.archive, f.entry_ord, 0, None, None, None, None, None, f"{f.name}: {type(e).__name__}")], columns=columns)
+                    out.append((f.archive, f.entry_ord, 0, None, None, None, None, None, f"{f.name}: {type(e).__name__}"))
                     continue
                 found = saves(doc, f.name) if library == "saves" else likes(doc, f.source)
-                rows = [(f.archive, f.entry_ord, k, h, a, None if t is None else str(t), x if library == "saves" else None, x if library == "likes" else None, None) for k, (h, a, t, x) in enumerate(found)]
-                yield pd.DataFrame(rows, columns=columns).astype({"entry_ord": "int32", "item_ord": "int32"})
+                for k, (h, a, t, x) in enumerate(found):
+                    out.append((f.archive, f.entry_ord, k, h, a, None if t is None else str(t), x if library == "saves" else None, x if library == "likes" else None, None))
+                    if len(out) >= ROWS:
+                        yield flush()
+        yield flush()
 
     return files.select("archive", "entry_ord", "name", "content", "source").mapInPandas(read, RAW)
 
 
-def parsed(raw: DataFrame, library: str) -> DataFrame:
-    """Items of one import, merged by identity; comments are recognised and left out."""
+def parsed(raw: DataFrame, library: str, site: str = i.SITE) -> DataFrame:
+    """Items of one import, merged by identity; comments are recognised and left out. site: whose addresses are items."""
     href = i.blank_to_null(F.col("href"))
-    rows = raw.filter("warning is null").withColumn("media_key", i.media_key(href)).filter("media_key is not null")
-    rows = rows.withColumns({"href": href, "shortcode": i.shortcode(href), "at": i.timestamp(F.col("at")), "author_username": F.coalesce(i.username(F.col("author")), i.story_user(href))})
+    rows = raw.filter("warning is null").withColumn("media_key", i.media_key(href, site)).filter("media_key is not null and not startswith(media_key, 'comment:')")
+    rows = rows.withColumns({"href": href, "shortcode": i.shortcode(href, site), "at": i.timestamp(F.col("at")), "author_username": F.coalesce(i.username(F.col("author")), i.story_user(href, site))})
     order = ["archive", "entry_ord", "item_ord"]
     if library == "saves":
         named = i.blank_to_null(F.col("collection"))

@@ -27,6 +27,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def committed(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of folders <key>=<n> under a path whose writes have ended."""
+    fs, p = _file_system(spark, f"{path}/{key}=*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in fs.globStatus(p) or [])
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name where driver and executors both see it: under spark.checkpoint.dir, or on one machine without it a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,13 +72,24 @@ class Store:
             raise KeyError(table)
         return self.spark.read.parquet(f"{self.folder}/{table}/{version}")
 
+    def stage(self, table: str, df: DataFrame) -> str:
+        """Write a version that nobody reads yet."""
+        version = uuid.uuid4().hex
+        df.write.mode("errorifexists").parquet(f"{self.folder}/{table}/{version}")
+        return version
+
+    def staged(self, table: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}/{version}")
+
+    def publish(self, versions: dict[str, str]) -> None:
+        """Make staged versions the tables' own, all in one write."""
+        rows = self.spark.createDataFrame([*versions.items()], "table string, version string")
+        rows.withColumns({"at": F.current_timestamp(), "generation": F.lit(GENERATION)}).coalesce(1).write.mode("append").parquet(f"{self.folder}/_pointers")
+
     def write(self, table: str, df: DataFrame, if_exists: str = "replace") -> None:
         if if_exists == "error" and self.version(table) is not None:
             raise ValueError(f"{table} isn't empty")
-        version = uuid.uuid4().hex
-        df.write.mode("errorifexists").parquet(f"{self.folder}/{table}/{version}")
-        row = self.spark.range(1).select(F.lit(table).alias("table"), F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(GENERATION).alias("generation"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/_pointers")
+        self.publish({table: self.stage(table, df)})
 
     def reset(self, phrase: str, tables: list[str], busy: bool = False) -> None:
         """Empty versions of the tables; refused without the phrase or while jobs run."""
@@ -80,11 +97,3 @@ class Store:
             raise ValueError("not reset")
         for t in tables:
             self.write(t, self.read(t).limit(0))
-
-    def copy_to(self, other: Store, tables: list[str]) -> None:
-        """Copy tables into an empty store, then compare the numbers of rows."""
-        for t in tables:
-            other.write(t, self.read(t), if_exists="error")
-        for t in tables:
-            if self.read(t).count() != other.read(t).count():
-                raise ValueError(f"{t} was not copied whole")

@@ -39,17 +39,54 @@ def throttled(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("job_id").applyInPandasWithState(step, SHAPE, "at_ms long, processed long, phase string", "append", GroupStateTimeout.NoTimeout)
 
 
-def changes(snapshots: DataFrame) -> DataFrame:
-    """Snapshots of (channel, seq, fingerprint, idle) whose fingerprint differs from the last one sent; idle is told once."""
+HEARTBEAT_MS, BURST = 17_000, "100 milliseconds"
+EVENTS = "channel string, event string, seq long, fingerprint string"
+
+
+def change_feed(snapshots: DataFrame, heartbeat_ms: int = HEARTBEAT_MS) -> DataFrame:
+    """Events of a stream of snapshots (channel, seq, fingerprint, idle): a snapshot is told at first and when its fingerprint changes, idle once when
+    it begins, and a ping when nothing was told for so long. Snapshots of one trigger are a burst, of which only the last counts: start the query with
+    a trigger of BURST. What was told last is kept by channel, so a restart from the checkpoint doesn't repeat it."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, idle = state.get if state.exists else (None, None)
+        channel, (last, idle, told) = key[0], state.get if state.exists else (None, False, 0)
+        now, out = state.getCurrentProcessingTimeMs(), []
+        if state.hasTimedOut:
+            if now - told >= heartbeat_ms:
+                out.append((channel, "ping", None, None))
+                told = now
+        else:
+            rows = pd.concat(list(batches))
+            r = rows.loc[rows["seq"].idxmax()]
+            if r["fingerprint"] != last:
+                out.append((channel, "snapshot", int(r["seq"]), r["fingerprint"]))
+                last, told = r["fingerprint"], now
+                if r["idle"] and not idle:
+                    out.append((channel, "idle", int(r["seq"]), r["fingerprint"]))
+                idle = bool(r["idle"])
+        state.update((last, idle, told))
+        state.setTimeoutDuration(max(1, told + heartbeat_ms - now))
+        yield pd.DataFrame(out, columns=["channel", "event", "seq", "fingerprint"]).astype({"seq": "Int64"})
+
+    return snapshots.groupBy("channel").applyInPandasWithState(step, EVENTS, "fingerprint string, idle boolean, told long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+REFRESH_MS = 5_000
+STATUS = "channel string, seq long, at_ms long, job string, counts string, counts_seq long"
+
+
+def cached_status(ticks: DataFrame, refresh_ms: int = REFRESH_MS) -> DataFrame:
+    """Statuses of ticks (channel, seq, at_ms, active, job, counts): the job's fields are those of the tick, the counts those of the last full
+    snapshot, taken anew after refresh_ms or when activity begins or ends. counts_seq: the tick whose counts they are."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cache = state.get if state.exists else None
         rows, out = pd.concat(list(batches)).sort_values("seq"), []
         for r in rows.itertuples(index=False):
-            if r.fingerprint != last or (r.idle and not idle):
-                out.append(r)
-            last, idle = r.fingerprint, bool(r.idle)
-        state.update((last, idle))
-        yield pd.DataFrame(out, columns=rows.columns)
+            if cache is None or cache[1] != r.active or r.at_ms - cache[0] >= refresh_ms:
+                cache = (int(r.at_ms), bool(r.active), r.counts, int(r.seq))
+            out.append((key[0], r.seq, r.at_ms, r.job, cache[2], cache[3]))
+        state.update(cache)
+        yield pd.DataFrame(out, columns=["channel", "seq", "at_ms", "job", "counts", "counts_seq"])
 
-    return snapshots.groupBy("channel").applyInPandasWithState(step, "channel string, seq long, fingerprint string, idle boolean", "fingerprint string, idle boolean", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy("channel").applyInPandasWithState(step, STATUS, "at_ms long, active boolean, counts string, seq long", "append", GroupStateTimeout.NoTimeout)

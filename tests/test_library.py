@@ -157,7 +157,9 @@ def test_embedder():
     v = embed.embed("Héllo wo-rld")
     assert abs(float((v * v).sum()) - 1) < 1e-5 and not embed.embed("  ").any()
     assert embed.features("Héllo a-b") == {"hello", " he", "hel", "ell", "llo", "lo ", "a-b", "ab", " ab", "ab "}
-    assert embed.fnv1a("a", 0) == 0xE40C292C
+    assert embed.fnv1a(["a", "", "foobar"], 0).tolist() == [0xE40C292C, 0x811C9DC5, 0xBF9CF968]  # published test values
+    many = embed.embed_all(["b a a", None, "x-y Zoë"])
+    assert (many[0] == embed.embed("b a a")).all() and not many[1].any() and (many[2] == embed.embed("x-y Zoë")).all()
     assert (embed.embed("b a a") == embed.embed("a b")).all()
 
 
