@@ -73,8 +73,8 @@ class VectorIndex:
 
     def matches(self, profile: dict) -> bool:
         """Whether queries of this profile can use the index."""
-        mine = self.profile()
-        return mine is not None and v.same_profile(mine, profile) and self.vectors() is not None
+        gen = self._generation()
+        return gen is not None and bool(self._chunks(gen)) and v.same_profile(self.profile(), profile)
 
     def can_resume(self, profile: dict) -> bool:
         """Whether a broken-off run can go on: something is there, and of the same profile."""

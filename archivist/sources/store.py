@@ -61,10 +61,11 @@ class Store:
         p = self._pointers()
         if p is None:
             return None
-        if p.filter(F.col("generation") != GENERATION).head(1):
+        mine = F.col("table") == table
+        last = p.agg(F.bool_or(F.col("generation") != GENERATION).alias("other"), F.max_by("version", F.when(mine, F.struct("at", "version"))).alias("version")).first()
+        if last["other"]:
             raise ValueError("the library is of another generation")
-        last = p.filter(F.col("table") == table).orderBy(F.desc("at"), F.desc("version")).head(1)
-        return last[0]["version"] if last else None
+        return last["version"]
 
     def read(self, table: str) -> DataFrame:
         version = self.version(table)

@@ -97,7 +97,7 @@ SITE = "https://www.media.example.com"
 def put(path, files):
     with zipfile.ZipFile(path, "w") as z:
         for k, v in files.items():
-            z.writestr(k, json.dumps(v))
+            z.writestr(k, v if isinstance(v, str) else json.dumps(v))
 
 
 def saved(code, author, at, host=SITE):
@@ -117,16 +117,11 @@ def test_browse_goes_through_the_search(spark, tmp_path):
     assert lib.sync_search("likes")["vectors"]["reused"] == 1
     page = lib.page("saves", q="nature")
     assert page.mode == "hybrid" and {r.media_key for r in page.items.limit(2).collect()} == {"Alpha1", "Gamma3"} and not page.capped
-    assert [r.media_key for r in lib.browse("saves", q="city_walks", page_size="1").collect()] == ["Beta22"]
-    assert lib.page("saves", q="nature", author="nature.photos").total == 1
-    page = lib.page("saves", q="amma")  # inside of a word: neither index has it, unless the embedder finds it near
-    assert page.mode in ("like", "vec") and page.total >= 1
-    page = lib.page("saves", q="nature", provider="openai")
-    assert page.mode == "hybrid-local-fallback" and page.fallback and "openai" in page.reason
+    page = lib.page("saves", q="nature", author="nature.photos", provider="openai")
+    assert page.total == 1 and page.mode == "hybrid-local-fallback" and page.fallback and "openai" in page.reason
     put(tmp_path / "in/b.zip", {"saved/saved_posts.json": {"saved_saved_media": [saved("Delta4", "zebra", 1_700_000_009)]}})
     lib.ingest(f"{tmp_path}/in/b.zip")
     assert lib.sync_search("saves")["vectors"] == {"embedded": 1, "reused": 0, "skipped": 3, "total": 4, "removed": 0}
-    assert [r.media_key for r in lib.browse("saves", q="zebra", page_size="1").collect()] == ["Delta4"]
     assert [r.comments for r in lib.stats()["likes"].collect()] == [0]
     jobs = spark.createDataFrame([(1, 2, "completed"), (7, 2, "running")], "job_id long, import_id long, state string")
     with pytest.raises(Busy, match="job 7"):
@@ -139,8 +134,9 @@ def test_browse_goes_through_the_search(spark, tmp_path):
 def test_site_and_comment_keys(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [saved("X1", "a", 1), saved("X1", "b", 2, "https://other.example.org"), {"title": "c", "string_map_data": {"Saved on": {"href": "comment:1", "timestamp": 3}}}]
-    put(tmp_path / "in/a.zip", {"saved/saved_posts.json": {"saved_saved_media": rows}})
-    for site, want in ((r"www\.media\.example\.com", {"X1", "other.example.org/p/X1"}), (None, {"X1"})):
-        lib = Library(spark, f"file://{tmp_path}/{len(want)}", **({"site": site} if site else {}))
-        lib.ingest(f"{tmp_path}/in")
-        assert {r.media_key for r in lib.items("saves").collect()} == want
+    put(tmp_path / "in/a.zip", {"saved/saved_posts.json": {"saved_saved_media": rows}, "saved/broken.json": "{"})
+    lib = Library(spark, f"file://{tmp_path}/lib", site=r"www\.media\.example\.com")
+    lib.ingest(f"{tmp_path}/in")
+    assert {r.media_key for r in lib.items("saves").collect()} == {"X1", "other.example.org/p/X1"}
+    log = lib.import_logs().first().log
+    assert (log.itemsParsed, log.filesScanned, log.savedJsonFiles, log.warnings) == (2, 2, ["saved/broken.json", "saved/saved_posts.json"], ["saved/broken.json: JSONDecodeError"])

@@ -11,7 +11,8 @@ from tests.oracle import agree
 
 @pytest.mark.parametrize("name", ["fts_ranked_prefix", "fts_ranked_phrase", "fts_ranked_or", "fts_ranked_joined", "fts_web", "keyword_index_sync", "keyword_index_terms", "keyword_index_ranked", "keyword_index_compacted"])
 def test_queries_against_sql(spark, name):
-    assert agree(spark, name)
+    rare = name in ("fts_ranked_phrase", "fts_ranked_or")  # the smallest table has no document for them
+    assert agree(spark, name, "/root/testdata/sf0.01") if rare else agree(spark, name)
 
 
 def fielded(spark, docs):

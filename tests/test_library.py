@@ -175,7 +175,7 @@ def test_schema_inference(spark):
     files = spark.createDataFrame([(1, "f", b'{"a":1}'), (2, "f", b'{"a":"x","b":[1]}'), (3, "g", b"{")], "import_id long, name string, content binary")
     got = {r.file_path: r for r in schema_infer.merged_schemas(schema_infer.schemas(files)).collect()}
     keys = json.loads(got["f"].schema_json)["keys"]
-    assert keys["a"]["type"] == ["number", "string"] and keys["b"]["optional"] and got["f"].imports == 2 and got["g"].parse_error
+    assert keys["a"]["type"] == ["string", "number"] and keys["b"]["optional"] and got["f"].imports == 2 and got["g"].parse_error
     assert schema_infer.parse_prefix('{"a": [1, 2, {"b": "te') == {"a": [1, 2, {"b": "te"}]} and schema_infer.parse_prefix('{"a": 1, "b"') == {"a": 1} and schema_infer.parse_prefix("x") is None
 
 
