@@ -110,8 +110,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    good = F.col("id").isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.lit(False))  # null where a component is null
+    largest = F.aggregate("v", F.lit(0.0), lambda s, x: F.when(x.isNull(), float("nan")).otherwise(F.greatest(s, F.abs(x))))  # not squares, which may pass a double's range
+    good = F.col("id").isNotNull() & F.coalesce((largest > 0) & (largest < float("inf")) & ~F.isnan(largest), F.lit(False))  # NaN is greater than all
     rows = stored(rows.withColumn("good", good))
     classes = stored(rows.filter("good").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
     n = classes.count()

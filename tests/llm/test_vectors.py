@@ -68,3 +68,9 @@ def test_odd_rows(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
     assert got == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)] + [(i, 0, i, True) for i in range(3, 10)]
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_very_small_and_large_components(spark):
+    rows = [(1, [1e-170, 0.0]), (2, [1e-170, 0.0]), (3, [1e160, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 1e-300]), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, None]), (10, [float("inf"), 1.0]), (11, [])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4)} == {i: (3, 1) for i in (1, 2, 3, 4)} and all(got[i] == (0, i) for i in range(5, 12))
