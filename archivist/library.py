@@ -17,6 +17,7 @@ from archivist.operators.hybrid import Found, hybrid_search
 from archivist.operators.keyword_index import KeywordIndex, search_fields
 from archivist.operators.vector_index import LOCAL, VectorIndex, media_text
 from archivist.sources import archive, exports, schema_infer
+from archivist.sources.settings import Settings
 from archivist.sources.store import Store, delete, scratch
 
 TIMES = {"saves": "saved_at", "likes": "liked_at"}
@@ -49,6 +50,7 @@ class Library:
     def __init__(self, spark: SparkSession, folder: str, site: str = SITE, providers: dict[str, Callable[[str], list[float]]] | None = None):
         self.spark, self.folder, self.store, self.site = spark, folder.rstrip("/"), Store(spark, folder), site
         self.embedders = {"local": lambda q: embed(q).tolist()} | (providers or {})
+        self.settings = Settings(self.store)
 
     def ingest(self, path: str) -> int:
         """Read archives and files under the path, merge them into the library; returns the import's id."""
@@ -104,10 +106,13 @@ class Library:
     def vector_index(self, library: str, provider: str = "local", **more) -> VectorIndex:
         return VectorIndex(self.spark, f"{self.folder}/_search/vectors", library, provider, **more)
 
+    def sync_keywords(self, library: str) -> dict[str, int]:
+        return self.keyword_index(library).sync(search_fields(self.items(library), library, id_col="media_key"))
+
     def sync_search(self, library: str) -> dict[str, dict[str, int]]:
         """Bring the keyword index and the offline vector index up to the items: only what is new, changed or gone is worked on."""
         items = self.items(library).withColumn("id", F.col("media_key"))
-        words = self.keyword_index(library).sync(search_fields(items, library))
+        words = self.sync_keywords(library)
         texts = items.select("id", media_text(*[F.col(n) for n in ("author_username", "shortcode", "media_key", "media_type")]).alias("text"))
         index = self.vector_index(library)
         counts = index.sync(texts, other=self.vector_index("likes" if library == "saves" else "saves"))
@@ -118,9 +123,10 @@ class Library:
         return {"keyword": words, "vectors": counts}
 
     def search(self, library: str, q: str, limit: int = c.RANKED_CAP, provider: str | None = None, preferred: str | None = None) -> Found:
-        """Ranked (id, rank, score, source); ids are media keys."""
-        ask = {name: lambda q, n, name=name: self.vector_index(library, name).search(self.embedders[name](q), n, self._profile(library, name)) for name in self.embedders}
-        return hybrid_search(self.spark, q, limit, self.keyword_index(library).search, ask, provider, preferred)
+        """Ranked (id, rank, score, source); ids are media keys. Providers that the settings turn off aren't asked."""
+        enabled = [name for name in self.embedders if self.settings.enabled(name, library)]
+        ask = {name: lambda q, n, name=name: self.vector_index(library, name).search(self.embedders[name](q), n, self._profile(library, name)) for name in enabled}
+        return hybrid_search(self.spark, q, limit, self.keyword_index(library).search, ask, provider, preferred or self.settings.preferred())
 
     def _profile(self, library: str, provider: str) -> dict:
         mine = self.vector_index(library, provider).profile()

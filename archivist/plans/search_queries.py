@@ -10,6 +10,7 @@ from archivist.operators import keyword as k
 from archivist.operators import keyword_index as ki
 from archivist.operators import vector_index as vi
 from archivist.operators import vectors as vec
+from archivist.operators.catalog import Browse, filtered
 from archivist.operators.hybrid import hybrid_search
 from archivist.plans import views as v
 from archivist.sources.store import scratch
@@ -188,6 +189,16 @@ def hybrid_mode_vec_fallback(s, d):
     return _mode(s, d, lambda q, n: (None, False), {"local": lambda q, n: _near(s, d, n)}, "openai")
 
 
+@query(v.SQL + "SELECT id, 'like' AS mode FROM media JOIN saved ON media_id = id WHERE contains(lower(name), 'old wid') OR contains(lower(media_key), 'old wid') OR contains(lower(author_username), 'old wid')")
+def browse_search_like(s, d):
+    """Neither search finds anything, so what holds the text anywhere is browsed."""
+    q = "old wid"
+    found = hybrid_search(s, q, 40, lambda q, n: (None, False), {"local": lambda q, n: _near(s, d, n).limit(0)})
+    media = v.media(s, d).join(v.saved(s, d).select(F.col("media_id").alias("id")), "id", "left_semi")
+    rows = filtered(media, Browse(q=q), ranked=None if found.mode == "none" else found.hits.select("id", "rank"))
+    return rows.select("id", F.lit("like" if found.mode == "none" else found.mode).alias("mode"))
+
+
 def _media_items(s, d, members, kinds=None):
     """(id, text) of a membership's media."""
     media = v.media(s, d).join(members(s, d).select(F.col("media_id").alias("id")), "id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from archivist.functions import sorting
 from archivist.operators import import_log as log
@@ -10,6 +11,7 @@ from archivist.plans import views as v
 from archivist.sources import schema_infer as si
 from archivist.sources import verified_copy as vc
 from archivist.sources.store import Store, scratch
+from archivist.streaming import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,3 +144,26 @@ def tree_locale_order(s, d):
 list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad(CAST(len(ltrim(r, '0')) AS VARCHAR), 5, '0') || ltrim(r, '0') ELSE r END), name) AS INTEGER) AS place FROM g""")
 def tree_natural_order(s, d):
     return sorting.tree_order(_tree(s, d), natural=True)
+
+
+def _jobs(s, d):
+    """Orders are jobs: finished, open or in work."""
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("running")
+    return v.read(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), state.alias("state"))
+
+
+_JOBS = "j AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'running' END AS state FROM orders)"
+
+
+@query(f"WITH {_JOBS} SELECT * FROM (SELECT 'listed' AS list, job_id, state FROM (SELECT * FROM j ORDER BY job_id DESC LIMIT 50 OFFSET 20) UNION ALL SELECT 'recent', job_id, state FROM (SELECT * FROM j WHERE state = 'completed' ORDER BY job_id DESC LIMIT 8))")
+def jobs_listed(s, d):
+    named = lambda name, df: df.select(F.lit(name).alias("list"), "job_id", "state")
+    return named("listed", jobs.listed(_jobs(s, d), offset=20)).unionByName(named("recent", jobs.recent(_jobs(s, d))))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, CAST(row_number() OVER (PARTITION BY month ORDER BY job_id) AS INTEGER) AS place FROM (SELECT j.*, month(o_orderdate) AS month FROM j JOIN orders ON o_orderkey = job_id) WHERE state = 'pending'")
+def jobs_waiting(s, d):
+    """The queues of each month, first come first served."""
+    month = v.read(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.month("o_orderdate").alias("month"))
+    rows = jobs.waiting(_jobs(s, d)).join(month, "job_id")
+    return rows.select("job_id", F.row_number().over(Window.partitionBy("month").orderBy("job_id")).alias("place"))

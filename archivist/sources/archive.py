@@ -81,8 +81,24 @@ def liked_source(name: Column) -> Column:
     )
 
 
-def synthetic(spark: SparkSession, n: int, kind: str = "reel", every: int = 3, users: int = 50) -> DataFrame:
-    """n made-up saves in one row each: (name, content) of string-list documents, for tests and benchmarks."""
-    href = F.concat(F.lit("https://media.example.com/"), F.when(F.col("id") % every == 0, kind).otherwise("p"), F.lit("/S"), F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), 6, "0"), F.lit("/"))
-    entry = F.struct(F.lit("").alias("title"), F.array(F.struct(href.alias("href"), F.concat(F.lit("user"), F.col("id") % users).alias("value"), (F.col("id") + 1_700_000_000).alias("timestamp"))).alias("string_list_data"))
-    return spark.range(n).select(F.concat(F.lit("saved/saved_posts_"), "id", F.lit(".json")).alias("name"), F.to_json(F.struct(F.array(entry).alias("saved_saved_media"))).alias("content"))
+#: Made-up documents by layout: (library, kind of every n-th item, n, authors, first time). Fixed values.
+LAYOUTS = {"saved lists": ("saves", "reel", 3, "user", 50, 1_700_000_000), "liked lists": ("likes", "reel", 4, "liker", 40, 1_700_100_000), "saved labels": ("saves", "reel", 2, "owner", 30, 1_700_000_000)}
+
+
+def synthetic(spark: SparkSession, n: int, layout: str = "saved lists") -> DataFrame:
+    """n made-up items in one document each, (name, content, source), for tests and benchmarks."""
+    library, kind, every, author, authors, first = LAYOUTS[layout]
+    code = F.concat(F.lit("S"), F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), 6, "0"))
+    href = F.concat(F.lit("https://media.example.com/"), F.when(F.col("id") % every == 0, kind).otherwise("p"), F.lit("/"), code, F.lit("/"))
+    name, at = F.concat(F.lit(author), (F.col("id") % authors).cast("string")), F.col("id") + first
+    if layout == "saved labels":
+        owner = F.array(F.struct(F.lit("").alias("title"), F.array(F.struct(F.lit("Username").alias("label"), name.alias("value"))).alias("dict")))
+        empty, none = F.lit(None).cast("string"), F.lit(None).cast("array<struct<title: string, dict: array<struct<label: string, value: string>>>>")
+        values = F.array(F.struct(F.lit("URL").alias("label"), href.alias("value"), href.alias("href"), empty.alias("title"), none.alias("dict")), F.struct(empty.alias("label"), empty.alias("value"), empty.alias("href"), F.lit("Owner").alias("title"), owner.alias("dict")))
+        doc = F.array(F.struct(at.alias("timestamp"), (F.col("id") + 10_000).cast("string").alias("fbid"), values.alias("label_values")))
+    else:
+        entry = F.struct(F.lit("").alias("title"), F.array(F.struct(href.alias("href"), name.alias("value"), at.alias("timestamp"))).alias("string_list_data"))
+        doc = F.struct(F.array(entry).alias("saved_saved_media" if library == "saves" else "likes_media_likes"))
+    folder = "saved/saved_posts_" if library == "saves" else "likes/liked_posts_"
+    source = F.lit("liked_posts" if library == "likes" else None).cast("string")
+    return spark.range(n).select(F.concat(F.lit(folder), "id", F.lit(".json")).alias("name"), F.to_json(doc).alias("content"), source.alias("source"))

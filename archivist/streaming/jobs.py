@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivist.operators.catalog import clamp
+
 LEASE_SECONDS, ATTEMPTS, PERMANENT_SECONDS = 30, 3, 2
 #: Seconds before each retry. Fixed values.
 BACKOFF = (1, 4, 15)
@@ -24,6 +26,25 @@ def current(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.max_by("processed", "seq").alias("processed"), F.max("seq").alias("seq"))
 
 
+#: Length of a list of jobs, and the longest; how many ended ones are shown. Fixed values.
+LISTED, MOST_LISTED, RECENT = 50, 100, 8
+
+
+def listed(jobs: DataFrame, limit: float | None = None, offset: int = 0) -> DataFrame:
+    """Jobs of (job_id, state, ...), newest first."""
+    return jobs.orderBy(F.desc("job_id")).offset(max(0, offset)).limit(clamp(limit, LISTED, MOST_LISTED))
+
+
+def recent(jobs: DataFrame, n: int = RECENT) -> DataFrame:
+    """The jobs that ended last."""
+    return jobs.filter(F.col("state").isin("completed", "failed", "cancelled")).orderBy(F.desc("job_id")).limit(n)
+
+
+def waiting(jobs: DataFrame) -> DataFrame:
+    """The jobs that wait, in the order in which they will run."""
+    return jobs.filter(F.col("state") == "pending").orderBy("job_id")
+
+
 def next_job(jobs: DataFrame) -> DataFrame:
     """The oldest pending job, if none runs."""
     busy = jobs.filter("state = 'running'").limit(1).select(F.lit(1).alias("_busy"))

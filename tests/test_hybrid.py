@@ -11,7 +11,7 @@ from archivist.operators.vector_index import LOCAL, Cancelled, Unavailable, Vect
 from tests.oracle import agree
 
 
-@pytest.mark.parametrize("name", ["hybrid_mode_both", "hybrid_mode_fts", "hybrid_mode_vec", "hybrid_mode_fallback", "hybrid_mode_vec_fallback", "vector_index_runs", "vector_index_healed", "rrf_merge", "bm25_topk", "fts_postings"])
+@pytest.mark.parametrize("name", ["hybrid_mode_both", "hybrid_mode_fts", "hybrid_mode_vec", "hybrid_mode_fallback", "hybrid_mode_vec_fallback", "browse_search_like", "vector_index_runs", "vector_index_healed", "rrf_merge", "bm25_topk", "fts_postings"])
 def test_queries_against_sql(spark, name):
     assert agree(spark, name)
 

@@ -102,7 +102,7 @@ def test_archive_caps_and_damage(spark):
         [*archive.entries("x", data, entry_cap=10)]
     with pytest.raises(ValueError):
         [*archive.entries("x", data, total_cap=151)]
-    docs = archive.synthetic(spark, 2000).withColumns({"archive": F.lit("x"), "entry_ord": F.lit(0), "source": F.lit(None).cast("string"), "content": F.col("content").cast("binary")})
+    docs = archive.synthetic(spark, 2000).withColumns({"archive": F.lit("x"), "entry_ord": F.lit(0), "content": F.col("content").cast("binary")})
     assert exports.parsed(exports.raw_items(docs, "saves"), "saves").count() == 2000
 
 

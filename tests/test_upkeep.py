@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from archivist.functions import sorting
 from archivist.operators import import_log
+from archivist.sources import archive, exports
 from archivist.sources import schema_infer as si
 from archivist.sources import verified_copy as vc
+from archivist.sources.settings import Settings
 from archivist.sources.store import Store
 from archivist.streaming import feed
 from tests.oracle import agree
 
 
-@pytest.mark.parametrize("name", ["schema_catalog_files", "schema_options", "schema_rows_readable", "import_log_counts", "import_log_recovered", "copy_row_totals", "copy_changes_located", "tree_locale_order", "tree_natural_order"])
+@pytest.mark.parametrize("name", ["schema_catalog_files", "schema_options", "schema_rows_readable", "import_log_counts", "import_log_recovered", "copy_row_totals", "copy_changes_located", "tree_locale_order", "tree_natural_order", "jobs_listed", "jobs_waiting"])
 def test_queries_against_sql(spark, name):
     assert agree(spark, name)
 
@@ -109,6 +111,40 @@ def test_orders_of_names(spark):
     assert [(r.path, r.kind, r.files) for r in sorted((r for r in rows if r.parent == "likes"), key=lambda r: r.place)] == [("likes/a", "folder", 1), ("likes/b2.json", "file", 1), ("likes/b10.json", "file", 1)]
 
 
+def test_synthetic_layouts(spark):
+    for layout, (library, kind, every, author, authors, first) in archive.LAYOUTS.items():
+        docs = archive.synthetic(spark, 130, layout).withColumns({"archive": F.lit("x"), "entry_ord": F.lit(0), "content": F.col("content").cast("binary")})
+        at = "saved_at" if library == "saves" else "liked_at"
+        got = {r.media_key: r for r in exports.parsed(exports.raw_items(docs, library), library).withColumn("seconds", F.unix_timestamp(at)).collect()}
+        assert len(got) == 130 and got["S00003l"].media_type == (kind if 129 % every == 0 else "post")
+        assert got["S00003l"].author_username == f"{author}{129 % authors}" and got["S00003l"].seconds == first + 129
+
+
+def test_settings(spark, tmp_path):
+    env = {"OPENAI_ENABLED": "true", "LIKES_VOYAGE_ENABLED": "1", "EMBEDDING_PROVIDER": "Ollama", "MODEL": " m "}
+    s = Settings(Store(spark, f"file://{tmp_path}"), env)
+    assert s.get("model", "MODEL", default="d") == "m" and s.get("other", "NONE", default="d") == "d" and s.preferred() == "ollama" and s.timeout_ms() == 30_000
+    assert s.enabled("local", "saves") and s.enabled("openai", "saves") and not s.enabled("voyage", "saves") and s.enabled("voyage", "likes") and not s.enabled("ollama", "saves")
+    s.update({"model": " stored ", "openai_enabled": "0", "likes_openai_enabled": "1", "embedding_timeout_ms": "x", "blank": " "})
+    assert s.get("model", "MODEL") == "stored" and "blank" not in s.stored()
+    s.migrate()
+    assert not s.enabled("openai", "saves") and s.enabled("openai", "likes") and "openai_enabled" not in s.stored()
+    with pytest.raises(ValueError):
+        s.timeout_ms()
+    s.update({"model": None})
+    assert s.get("model", "MODEL") == "m"
+
+
+def test_reset(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.write("things", spark.range(3))
+    for phrase, busy in (("reset", False), ("RESET", True)):
+        with pytest.raises(ValueError):
+            store.reset(phrase, ["things"], busy)
+    store.reset("RESET", ["things"])
+    assert store.read("things").count() == 0
+
+
 SNAPSHOT = "channel string, seq long, fingerprint string, idle boolean"
 
 
