@@ -11,7 +11,8 @@ two empty texts have likeness 1. The fingerprint is the table at its first size,
 All texts of a batch are peeled in one go, each in its own cells.
 
 Nulls count as empty texts. Ids sort ascending, nulls first, rows of one id by their text; after the
-last row comes the first. Only the id and the text column are read.
+last row comes the first. Very long texts are taken whole. Only the id and the text column are read, so other columns can't clash. An empty
+table gives no rows. Digests of one text have to differ, as `digests` makes them; else peeling raises a ValueError.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from archivist.llm.common import partitions, table
 from archivist.llm.shingles import _SPACE, mix, powers
 
 CELLS, GROW, HASHES = 15, 4, 3
+#: Cells for each digest at which peeling can't but end, if digests differ.
+ENOUGH = 64
 _BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _SALTS = [np.uint64(s) for s in (0x8E51_2FB3_9A4C_71D5, 0xC3A5_C85C_97CB_3127, 0xB492_B66F_BE98_F273, 0x9AE1_6A3B_2F90_404F)]
 
@@ -117,7 +120,10 @@ def peel(parts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, cells: int) -
 def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, digest, sign) of what differs between two versions of n texts: 1 only in a, -1 only in b."""
     out, open_, cells = [], np.arange(n), CELLS
+    most = ENOUGH * max(CELLS, 1 + int((np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n)).max(initial=0)))
     while len(open_):
+        if cells > most:
+            raise ValueError(f"{len(open_)} texts can't be peeled: one has a digest twice")
         index = np.full(n, -1)
         index[open_] = np.arange(len(open_))
         parts = None

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from archivist.llm.fingerprints import compare_versions, differences, digests, likeness, op4_fingerprints
 
@@ -69,3 +70,9 @@ def test_odd_rows(spark):
     check(compare_versions(df).collect(), rows)
     assert compare_versions(df.limit(0)).count() == 0
     check(compare_versions(df.filter("doc_id = 9")).collect(), [rows[4]])
+
+
+def test_a_digest_that_a_text_has_twice_is_an_error():
+    twice = np.zeros(2, np.int64), np.full(2, 77, np.uint64)
+    with pytest.raises(ValueError, match="twice"):
+        differences(twice, (np.empty(0, np.int64), np.empty(0, np.uint64)), 1)
