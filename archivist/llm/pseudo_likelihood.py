@@ -11,14 +11,14 @@ numpy on all documents: they are dealt to shards by a hash of id and words, a sh
 parameters are averaged, weighted by their words, ROUNDS times. So the table's partitions don't change the network.
 
 Nulls count as empty texts; a text without words has score 0 and a null mean. Repeated rows are scored each for
-itself. Only the id and the text column are read. An empty table gives an empty result.
+itself, and rows without an id as any other. Very long texts are read and scored whole. Only the id and the text column are read, so other columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ HELD = 200_000
 ROUNDS, BATCH, RATE = 2, 2048, 0.5
 #: Words of a shard that is trained on by itself.
 SHARD = 2_000_000
+#: Networks that are averaged in one group.
+FAN = 16
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"e": (len(_OFFSETS), VOCABULARY + 1, WIDE), "b": (WIDE,), "wc": (WIDE, SIDE), "bc": (SIDE,), "wj": (WIDE, SIDE), "bj": (SIDE, SIDE)}
 
@@ -232,17 +234,23 @@ def train(docs: DataFrame, words: Words, share: int = 1, rounds: int = ROUNDS) -
                 at = range(0, size, cut)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([n] * len(at), pa.int64()), pa.array([v[i : i + cut].tobytes() for i in at], pa.binary())], names=["at", "n", "v"])
 
-        def average(g: pd.DataFrame) -> pd.DataFrame:
-            w = g["n"].to_numpy(np.float64)
-            v = sum(np.frombuffer(x, np.float32) * k for x, k in zip(g["v"], w, strict=True)) / w.sum()
-            return pd.DataFrame({"at": [g["at"].iloc[0]], "n": [int(w.sum())], "v": [v.astype(np.float32).tobytes()]})
+        def averaged(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+            def average(g: pd.DataFrame) -> pd.DataFrame:
+                w = g["n"].to_numpy(np.float64)
+                v = sum(np.frombuffer(x, np.float32) * k for x, k in zip(g["v"], w, strict=True)) / w.sum()
+                return pd.DataFrame({"at": [g["at"].iloc[0]], "n": [int(w.sum())], "v": [v.astype(np.float32).tobytes()], "salt": [int(g["salt"].iloc[0]) % width]})
+
+            return average
 
         shape = "at long, n long, v binary"
-        salted = some.mapInArrow(fit, shape).withColumn("salt", F.xxhash64("v") % 16)
-        for keys in (["at", "salt"], ["at"]):
-            salted = salted.groupBy(*keys).applyInPandas(lambda g: average(g).assign(salt=0), shape + ", salt long")
+        widths = [1]
+        while widths[-1] * FAN < shards:
+            widths.append(widths[-1] * FAN)
+        merged = some.mapInArrow(fit, shape).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(widths[-1])))
+        for width in reversed(widths):  # a tree over the shards, with some FAN networks in a group
+            merged = merged.groupBy("at", F.pmod("salt", F.lit(width))).applyInPandas(averaged(width), shape + ", salt long")
         v = _flat(now)
-        for x in salted.collect():  # the parameters once
+        for x in merged.collect():  # the parameters once
             part = np.frombuffer(x["v"], np.float32)
             v[x["at"] : x["at"] + len(part)] = part
         now = _named(v)

@@ -97,3 +97,26 @@ def test_step_against_loops():
         grad["e"][k][w] /= np.sqrt(m * n / 16)
     assert abs(pl.step(got, words, around, rate) - total / n) < 1e-5
     assert all(np.allclose(got[k], p[k] - rate * grad[k], atol=1e-5) for k in p)
+
+
+def test_the_query_against_loops(spark, monkeypatch):
+    """Each document's score from the trained network, a place at a time, and the shares of words without an entry of their own."""
+    sf, trained = "/root/testdata/sf0.001", []
+    train = pl.train
+    monkeypatch.setattr(pl, "train", lambda *a: trained.append(train(*a)) or trained[0])
+    monkeypatch.setattr(pl, "SHARD", 700)  # a tree of two levels and more
+    monkeypatch.setattr(pl, "FAN", 3)
+    got = {r.doc_id: r for r in pl.op2_pseudo_likelihood(spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    counts = pl.counted(rows)
+    words = pl.vocabulary(rows, counts)
+    share = {r.w: r.log_share for r in pl.log_shares(counts, words).collect()}
+    for i, t in [*texts.items()][:25]:
+        ids, total = words.ids(" ".join(t)), 0.0
+        for k, w in enumerate(ids):
+            around = np.array([[ids[k + o] if 0 <= k + o < len(ids) else pl.VOCABULARY] for o in (-2, -1, 1, 2)])
+            *_, ((_, lc), (_, lj)) = pl.forward(trained[0], np.array([w]), around)
+            total += (lc + lj)[0] + share.get(t[k], 0.0)
+        assert got[i].n_words == len(t) and abs(got[i].log_likelihood - total) < 1e-3 * max(1, abs(total))
