@@ -6,8 +6,8 @@ is packed on the driver: from the longest length to the shortest, each length jo
 that it fits (packs are counted by pattern, not one by one), or opens new ones. Patterns are then joined back to the pieces by length and rank within the length. Ranks are counted within partitions first, so a
 length that most pieces have is spread over all tasks.
 
-Nulls count as empty texts; every document has at least the end id. Repeated rows are packed each
-for itself. Only the id and the text column are read.
+Nulls count as empty texts; every document has at least the end id. Rows without an id are packed as any other, and repeated rows each
+for itself. Very long texts are cut whole. Only the id and the text column are read, so other columns can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,8 +83,8 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     start.append(s)
                     crc.append(zlib.crc32(tokens[s : s + width].tobytes()))
                     total.append(len(tokens))
-                    if with_ids:
-                        kept.append(tokens[s : s + width].astype("<u4").tolist())
+                if with_ids:
+                    kept.append(tokens.astype(np.int32))
             starts, totals = np.array(start, np.int64), np.array(total, np.int64)
             lengths = np.minimum(width, totals - starts)
             order = np.argsort(lengths, kind="stable")
@@ -94,10 +94,13 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rank += ranks[lengths]
             ranks += np.bincount(lengths, minlength=width + 1)
             columns = [pa.array(doc, pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(totals), pa.array(np.full(len(rank), part), pa.int64()), pa.array(rank)]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int64()))] if with_ids else []), names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids)
+            if with_ids:
+                bounds = np.r_[0, np.cumsum(lengths)].astype(np.int32)  # pieces follow one another as the ids do
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long" + (", ids array<long>" if with_ids else ""))
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long" + (", ids array<int>" if with_ids else ""))
 
 
 def place(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -126,7 +129,7 @@ def sequences(packed: DataFrame, width: int = WIDTH, pad: int = 0) -> DataFrame:
     """sequence_id, ids (padded to width) and lengths, from pack(..., with_ids=True). A group has `width` pieces at most."""
     g = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "length"))).alias("p"))
     ids = F.flatten(F.col("p.ids"))
-    return g.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), F.lit(width) - F.size(ids))).alias("ids"), F.col("p.length").alias("lengths"))
+    return g.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad).cast("int"), F.lit(width) - F.size(ids))).alias("ids"), F.col("p.length").alias("lengths"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

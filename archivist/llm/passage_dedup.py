@@ -15,7 +15,8 @@ Both joins with the texts use one shuffle of them. The buckets grow with the par
 Strings are judged on the input, not on what is left, and never cross documents.
 
 Nulls count as empty texts. Rows without an id are kept whole and remove nothing. Rows of one id are
-not earlier than each other. Texts of fewer than 50 bytes are kept. Other columns are not read.
+not earlier than each other. Texts of fewer than 50 bytes are kept. Very long texts are
+judged and cut whole. Other columns are not read, so they can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

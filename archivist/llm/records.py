@@ -14,7 +14,8 @@ own and renames at the end; index rows name the file of the attempt that Spark k
 speculative tasks do no harm.
 
 Nulls count as empty texts, and an empty text gives a record with the end id alone. A null id sorts
-first. Repeated rows give a record each. Only the id and the text column are read.
+first. Repeated rows give a record each. Very long texts are one record each. Only the id and the text column are read, so other columns
+can't clash. An empty table gives an empty index.
 """
 
 from __future__ import annotations

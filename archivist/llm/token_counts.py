@@ -10,7 +10,9 @@ What is stored for a text is one signed byte a character, the change of the coun
 how many tokens any prefix has and how long a prefix a token budget allows, without encoding again.
 
 Nulls count as empty texts; an empty text has no prefix and no token. Repeated rows are counted each
-for itself; very long texts are counted whole. Only the id and the text column are read, so other columns can't clash.
+for itself, and rows without an id as any other; very long texts are counted whole. Only the id and the text column are read, so other
+columns can't clash. An empty table gives no rows. Where the recurrence and the library's count of the whole text differ, all prefixes of
+the word are encoded.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ is sigmoid(b + sum of w * r over a text's features). The model is one table of B
 Nulls count as empty texts; an empty text gets the score of the bias. Several labels of one id count
 as the largest, labels above 1 as 1; null and negative labels and null ids aren't learnt from, of an id with several texts the least is. With no labels at all, or one class only, every
 score is the share of label 1 (0.5 with no labels). Repeated rows are scored each for itself, equal texts alike.
+Very long texts are scored whole. Other columns stay, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations

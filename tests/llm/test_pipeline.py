@@ -28,7 +28,7 @@ def test_each_stage_on_its_own_input(spark):
     pieces, by_seq = seen[5].collect(), defaultdict(int)
     for p in pieces:
         ids = [*encode(texts[4][p.doc_id]), 0]
-        assert p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[p.start : p.start + p.length])
+        assert p.doc_tokens == len(ids) and p.ids == ids[p.start : p.start + p.length] and p.ids_crc32 == crc(p.ids)
         by_seq[p.sequence_id] += p.length
     assert max(by_seq.values()) <= 1024
     total = sum(n * (len(encode(texts[4][i])) + 1) for i, n in copies.items())

@@ -1,10 +1,13 @@
 """Pipeline stages over odd rows: nulls, empty and long texts, ties, repeated ids with other texts, clashing columns, no rows."""
 
+from corpus_pipeline import packed
+
 from archivist.llm.mixing import mix_sources
 from archivist.llm.ngram_join import one_of_each
 from archivist.llm.passage_dedup import without_repeats
 from archivist.llm.token_counts import truncate
 from archivist.llm.toxicity import clean, labelled_sample
+from tests.llm.test_records_packing import crc, encode
 
 SF = "/root/testdata/sf0.001"
 LONG = "a long text of words " * 4000
@@ -34,6 +37,16 @@ def test_odd_rows(spark):
     assert set(texts(clean(spark, df, SF))) <= set(whole)
 
 
+def test_odd_rows_are_packed(spark):
+    df, by_row = odd(spark), {}
+    for r in packed(spark, df, SF).collect():
+        assert len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 and r.offset + r.length <= 1024
+        by_row.setdefault((r.doc_id or 0, r.doc_tokens), {}).setdefault(r.start, []).append(r.ids)
+    got = sorted((i, tuple(sum((p[s][k] for s in sorted(p)), []))) for (i, _), p in by_row.items() for k in range(len(p[0])))
+    assert got == sorted((i or 0, tuple([*encode(t), 0])) for i, t in ROWS)
+    assert packed(spark, df.limit(0), SF).count() == 0
+
+
 def test_truncate_keeps_the_texts_of_a_repeated_id_apart(spark):
     got = {r.kept_text for r in truncate(odd(spark).filter("doc_id = 3"), 100).collect()}
     assert got == {"first text alone", "second text, another one"}
