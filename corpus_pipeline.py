@@ -17,7 +17,12 @@ from archivist.llm.toxicity import clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """Pipeline stage, the last: the pieces of all documents with their token ids and places in sequences (doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset, ids); `packing.sequences` makes rows of full width of them.
+
+    Null and empty texts are the end id alone. Rows without an id are packed as any other, repeated rows each for itself, very long texts
+    whole. Columns may have any names. An empty table gives no rows."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
