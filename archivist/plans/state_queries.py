@@ -55,12 +55,14 @@ def content_hash_dups(s, d):
 
 
 def _items(s, d):
-    rows = v.read(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("media_key"), F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("href"), F.col("l_returnflag").alias("media_type"), F.col("l_linestatus").alias("author_username"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber")
+    """Line items as media; _file and _row tell which of equal numbers stands first in the table."""
+    stands = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = v.read(s, d, "lineitem").select(*stands, F.col("l_partkey").cast("string").alias("media_key"), F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("href"), F.col("l_returnflag").alias("media_type"), F.col("l_linestatus").alias("author_username"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber")
     return rows.withColumn("media_type", F.when(F.col("media_type") == "N", "unknown").otherwise(F.col("media_type"))).withColumn("shortcode", F.col("media_key")).withColumn("collections", F.array("media_type"))
 
 
 def _merge(early, late):
-    order = ["l_orderkey", "l_linenumber"]
+    order = ["l_orderkey", "l_linenumber", "_file", "_row"]
     stored = m.merge_batch(early, "at", order).withColumns({"first_seen_import_id": F.lit(1).cast("long"), "last_seen_import_id": F.lit(1).cast("long")})
     return m.merge_state(stored, m.merge_batch(late, "at", order), 2, "at")
 

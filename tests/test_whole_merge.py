@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from archivist.plans import registry
+from tests.oracle import agree
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +31,12 @@ def test_merge_covers_all_line_items(spark):
     assert {r.outcome: r["items"] for r in registry.QUERIES["merge_outcome_counts_whole"](spark, SF).collect()} == Counter(want.values())
     n = registry.QUERIES["import_accounting_whole"](spark, SF).first()
     assert (n["added"], n["updated"]) == (len(new.keys() - old.keys()), len(new.keys() & old.keys()))
+
+
+def test_equal_numbers_go_by_their_place_in_the_table(spark, tmp_path):
+    rows = [(k, 7, 10 - n if k % 2 else n, 1, "NRA"[n % 3], "OF"[n % 2], f"199{8 - 4 * (k % 2)}-01-0{n + 1} 00:00:00") for k in range(8) for n in range(4)]
+    rows += [(k, k, 10 * k + n, 1, "RAN"[n % 3], "FO"[n % 2], f"199{8 - 4 * (k % 2)}-01-0{9 - n} 00:00:00") for k in range(64, 80) for n in range(3)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, at string")
+    df.select("*", F.to_timestamp("at").alias("l_shipdate")).drop("at").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("merge_outcomes_whole", "merge_outcome_counts_whole", "import_accounting_whole", "merge_outcomes"):
+        assert agree(spark, name, str(tmp_path))
