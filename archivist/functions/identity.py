@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The site whose addresses are items, as a pattern: any host. The functions take a narrower one.
@@ -28,6 +28,12 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, "(?i)" + pattern, group), F.lit(""))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with more columns that are computed once for each row. With withColumn a filter that uses a column would get a copy of its whole
+    expression for each use; patterns of patterns then no longer compile."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def media_type(href: Column) -> Column:
     h = F.lower(href)
     return F.when(h.contains("/reel/") | h.contains("/reels/"), "reel").when(h.contains("/tv/"), "igtv").when(h.contains("/p/"), "post").otherwise("unknown")
@@ -53,9 +59,23 @@ def media_key(href: Column, site: str = SITE) -> Column:
     """The code; else story:user:id; else story:user:address; else host and path; else the text; else null. Slashes at the end don't count."""
     text = blank_to_null(href)
     user, number = story_user(text, site), _found(text, site + STORY, 2)
-    host, path = F.lower(F.try_parse_url(text, F.lit("HOST"))), F.try_parse_url(text, F.lit("PATH"))
     story = F.when(user.isNotNull(), F.concat(F.lit("story:"), user, F.lit(":"), F.coalesce(number, _without_end(F.lower(text)))))
-    return F.coalesce(shortcode(text, site), story, F.concat(host, F.coalesce(_without_end(path), F.lit(""))), _without_end(text))
+    return F.coalesce(shortcode(text, site), story, _address(text))
+
+
+def _address(text: Column) -> Column:
+    host, path = F.lower(F.try_parse_url(text, F.lit("HOST"))), F.try_parse_url(text, F.lit("PATH"))
+    return F.coalesce(F.concat(host, F.coalesce(_without_end(path), F.lit(""))), _without_end(text))
+
+
+def identified(rows: DataFrame, site: str = SITE) -> DataFrame:
+    """Rows with media_key, shortcode and _story (the story's user) of their href, as the functions above tell them, and href trimmed. Each pattern is
+    tried once, those of stories only on addresses without a code."""
+    rows = once(rows.withColumnRenamed("href", "_href"), href=blank_to_null(F.col("_href"))).drop("_href")
+    rows = once(rows, _code=F.regexp_extract("href", "(?i)" + site + CODE, 1), _about=F.lower("href").contains("/stories/"))
+    rows = once(rows, shortcode=F.nullif("_code", F.lit("")), _story=F.when(F.col("_about"), story_user(F.col("href"), site)))
+    rows = once(rows, media_key=F.when(F.col("shortcode").isNotNull(), F.col("shortcode")).when(F.col("_about"), media_key(F.col("href"), site)).otherwise(_address(F.col("href"))))
+    return rows.drop("_code", "_about")
 
 
 def comment_id(href: Column, site: str = SITE) -> Column:
