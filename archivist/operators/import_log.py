@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,15 +51,30 @@ def decoded(notes: Column) -> Column:
     """The log in a text, complete with defaults; null where it is none. Older logs tell what became of likes in a warning only."""
     whole = F.try_parse_json(notes)
     number = F.schema_of_variant(F.try_variant_get(whole, "$.filesScanned", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT|SMALLINT|TINYINT)")
-    raw = F.from_json(notes, SHAPE)
+    whole_log = _once(F.struct(F.from_json(notes, SHAPE).alias("raw")), lambda x: _once(_complete(x["raw"]), _with_told))
+    return F.when(number, whole_log)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used; a plain expression would parse the text for each field."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _complete(raw: Column) -> Column:
     zero = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
     fields = {n: zero(raw[n]) for n in NUMBERS} | {n: F.coalesce(raw[n], F.array().cast("array<string>")) for n in LISTS}
     fields |= {n: F.struct(*[zero(raw[n][t]).alias(t) for t in types]) for n, types in (("typeCounts", SAVED_TYPES), ("likeTypeCounts", LIKED_TYPES))}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _with_told(log: Column) -> Column:
+    """The log with what a warning tells about likes where its numbers don't."""
+    fields = {n: log[n] for n in (*NUMBERS, *LISTS, "typeCounts", "likeTypeCounts")}
     told = F.get(F.filter(fields["warnings"], lambda w: w.rlike(LIKES_TOLD)), 0)
-    silent = (fields["likesParsed"] > 0) & (fields["likesAdded"] + fields["likesUpdated"] + fields["likesSkipped"] == 0) & told.isNotNull()
+    silent = (fields["likesParsed"] > 0) & (fields["likesAdded"] + fields["likesUpdated"] + fields["likesSkipped"] == 0)
     for k, n in enumerate(("likesAdded", "likesUpdated", "likesSkipped"), 1):
-        fields[n] = F.when(silent, F.regexp_extract(told, LIKES_TOLD, k).cast("long")).otherwise(fields[n])
-    return F.when(number, F.struct(*[c.alias(n) for n, c in fields.items()]))
+        fields[n] = F.when(silent & told.isNotNull(), F.regexp_extract(told, LIKES_TOLD, k).cast("long")).otherwise(fields[n])
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def authors(log: Column) -> tuple[Column, Column]:

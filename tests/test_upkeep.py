@@ -192,3 +192,11 @@ def test_cached_status(spark, tmp_path):
     q = feed.cached_status(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("statuses").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.job, r.counts, r.counts_seq) for r in spark.sql("select * from statuses order by seq").collect()] == [("j1", "c1", 1), ("j2", "c1", 1), ("j3", "c3", 3), ("j4", "c3", 3), ("j5", "c5", 5), ("j6", "c6", 6)]
+
+
+def test_a_log_is_parsed_once(spark):
+    notes = spark.createDataFrame([('{"filesScanned": 1, "likesParsed": 5, "warnings": ["Likes: 3 added, 2 updated, 0 unchanged."]}',), ("{x",), ('{"filesScanned": "1"}',), (None,)], "notes string")
+    found = notes.select(import_log.decoded(F.col("notes")).alias("l"))
+    assert [(r.l.likesAdded, r.l.likesUpdated, r.l.filesScanned, r.l.typeCounts.post) if r.l else None for r in found.collect()] == [(3, 2, 1, 0), None, None, None]
+    plan = found.select("l.likesAdded", "l.likesUpdated", "l.likesParsed")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1, plan.count("from_json")  # for each field and condition before
