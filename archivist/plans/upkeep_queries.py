@@ -34,7 +34,8 @@ def _files(s, d):
     user = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
     value = F.to_json(F.struct(F.struct(k.alias("k")).alias("p"), user.alias("user"), F.array(F.col("user_id"), k).alias("pair")))
     content = F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 0), F.lit("{")).otherwise(value)
-    return e.select(F.col("event_id").alias("import_id"), F.col("event_type").alias("name"), content.cast("binary").alias("content"))
+    files = e.select(F.col("event_id").alias("import_id"), F.col("event_type").alias("name"), content.cast("binary").alias("content"))
+    return files.repartition(4 * s.sparkContext.defaultParallelism)  # the table's few small files would be as few tasks
 
 
 def _event_imports(s, d):

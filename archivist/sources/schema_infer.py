@@ -8,11 +8,15 @@ import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archivist.sources.store import scratch
+
 DEPTH, SAMPLED, ENDS = 256, 20, 7
 
 
@@ -134,37 +138,48 @@ def options(imports: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("has_schemas", F.col("schema_files") > 0).orderBy(F.desc("imported_at"), F.desc("id"))
 
 
-#: Trees of a path that one task merges at a time.
-FAN_IN = 32
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each run of rows of a path: their trees merged in the order they come in."""
+    part, at, out = TaskContext.get().partitionId(), _NO_PATH, None
+    row = lambda: pd.DataFrame({"file_path": [at], "schema_json": [json.dumps(out)], "part": [part]})
+    for b in batches:
+        for path, t in zip(b["file_path"], b["schema_json"], strict=True):
+            node = json.loads(t)
+            if path == at:
+                out = merge(out, node)
+                continue
+            if at is not _NO_PATH:
+                yield row()
+            at, out = path, node
+    if at is not _NO_PATH:
+        yield row()
+
+
+_NO_PATH = object()
 
 
 def merged_schemas(found: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """One row for each file path over all imports (of those in `imports`, if given): largest size, whether any read was cut, the top level types, the
     number of imports, the first error and the merged tree, the latest import first.
 
-    Equal trees are merged once. The others are merged in stages, FAN_IN neighbouring imports at a time, so no task gathers all trees of a path."""
+    Files are read once. Equal trees are merged once. The others are ranged by path and import, so that each task merges its stretch of a path, and at last
+    a task the stretches of a path: as many as there are partitions at most, however many imports there are."""
     if imports is not None:
         found = found.join(imports.select(F.col("id").alias("import_id")), "import_id", "left_semi")
-    found = readable(found)
+    readable(found).write.parquet(path := scratch(found.sparkSession))
+    found = found.sparkSession.read.parquet(path)
     types = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("top_level_type", r"\|")))))
     known = F.array_remove(types, "unknown")
     facts = found.groupBy("file_path").agg(F.max("byte_size").alias("byte_size"), F.bool_or("truncated_read").alias("truncated_read"), F.when(F.size(known) == 0, "unknown").otherwise(F.array_join(known, "|")).alias("top_level_type"), F.count_distinct("import_id").alias("imports"), F.max_by("parse_error", F.when(F.col("parse_error").isNotNull(), F.col("import_id"))).alias("parse_error"))
     trees = found.filter("schema_json is not null").groupBy("file_path", "schema_json").agg(F.max("import_id").alias("at"))
+    order = [F.col("file_path"), F.desc("at"), F.col("schema_json")]
+    parts = trees.repartitionByRange(*order).sortWithinPartitions(*order).select("file_path", "schema_json").mapInPandas(_fold, "file_path string, schema_json string, part int")
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for t in p.sort_values(["at", "schema_json"], ascending=[False, True])["schema_json"]:
-            node = json.loads(t)
-            out = node if out is None else merge(out, node)
-        return pd.DataFrame({"file_path": [p["file_path"].iloc[0]], "schema_json": [json.dumps(out)], "at": [p["at"].max() // FAN_IN]})
-
-    last = trees.agg(F.max("at")).first()[0] or 0
-    while True:
-        trees = trees.groupBy("file_path", F.floor(F.col("at") / FAN_IN).alias("block")).applyInPandas(fold, "file_path string, schema_json string, at long")
-        last //= FAN_IN
-        if not last:
-            break
-    return facts.join(trees.drop("at"), "file_path", "left")
+    def last(p: pd.DataFrame) -> pd.DataFrame:
+        tree = reduce(merge, map(json.loads, p.sort_values("part")["schema_json"]))
+        return pd.DataFrame({"file_path": [p["file_path"].iloc[0]], "schema_json": [json.dumps(tree)]})
+
+    return facts.join(parts.groupBy("file_path").applyInPandas(last, "file_path string, schema_json string"), "file_path", "left")
 
 
 def path_imports(found: DataFrame, imports: DataFrame) -> DataFrame:
