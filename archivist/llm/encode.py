@@ -29,7 +29,8 @@ def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """ids(text) as little-endian bytes of unsigned integers of `width` bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -70,7 +71,7 @@ class WordEncoder:
         heads = [p.pop(0) for p in parts]
         seen = set().union(*parts)
         new = seen.difference(self.words)
-        if len(self.words) + len(new) > MEMORY:  # words that came back stay
+        if len(self.words) + len(new) > self.memory:  # words that came back stay
             self.words = {w: self.words[w] for w in seen - new}
         self.learn(list(new))
         get, out = self.words.__getitem__, []
@@ -88,6 +89,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int = MEMORY) -> WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, memory)

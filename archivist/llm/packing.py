@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivist.llm.common import stored, table
-from archivist.llm.encode import default_tokenizer, encoder
+from archivist.llm.encode import MEMORY, default_tokenizer, encoder
 
 WIDTH, END = 1024, 0
+#: Parts whose counts are broadcast at most, an array of `width` numbers each (80 MB); of more parts they are joined by a shuffle.
+PARTS = 10_000
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[tuple[int, ...], int]]:
@@ -67,12 +69,12 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "low", "high", "sequence", "offset"], dtype="int64")
 
 
-def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, end: int | None = END, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, end: int | None = END, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, part, rank (within the part and length) and, if asked for, ids."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, part, ranks = encoder(path), TaskContext.get().partitionId(), np.zeros(width + 1, np.int64)
+        e, part, ranks = encoder(path, memory), TaskContext.get().partitionId(), np.zeros(width + 1, np.int64)
         tail = np.array([] if end is None else [end], e.dtype).tobytes()
         for b in batches:
             ids, doc, start, crc, total, kept = b.column(0).to_pylist(), [], [], [], [], []
@@ -107,21 +109,26 @@ def place(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pieces (with length, part, rank) with their sequence_id and offset. Read twice, so they have to be stored."""
     spark = pieces.sparkSession
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("length").orderBy("part")  # rows of a length: one for each part
-    before = counts.select("length", "part", (F.sum("n").over(w) - F.col("n")).alias("_before"))
+    parts = counts.select("part").distinct()
+    dense = parts.select("part", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(width).cast("long"))).alias("length")).join(counts, ["length", "part"], "left")
+    w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # rows of a length: one for each part
+    before = dense.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long")).alias("_before"))
+    before = before.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("length", "_before"))).alias("b")).select("part", F.col("b._before").alias("_before"))
+    if parts.count() <= PARTS:
+        before = F.broadcast(before)  # so that the pieces with their ids aren't shuffled
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `width` rows
     slots = _slots(shortest_pack_first(histogram, width))
     frame = spark.createDataFrame(slots, "length long, low long, high long, sequence long, offset long") if len(slots) else spark.createDataFrame([], "length long, low long, high long, sequence long, offset long")
     # bounded by the patterns, which depend on the bins of the histogram only
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_before")
+    ranked = pieces.join(before, "part").withColumn("rank", F.col("rank") + F.element_at("_before", F.col("length").cast("int"))).drop("_before")
     s = F.broadcast(frame.withColumnRenamed("length", "_length"))
     on = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     return ranked.join(s, on).withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("low")).drop("_length", "low", "high", "sequence", "part", "rank")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    pieces = stored(cut_pieces(docs, id_col, text_col, tokenizer, width, with_ids=with_ids))
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids). memory: words that a worker remembers."""
+    pieces = stored(cut_pieces(docs, id_col, text_col, tokenizer, width, with_ids=with_ids, memory=memory))
     return place(pieces, width).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
 
 

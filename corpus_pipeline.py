@@ -15,6 +15,9 @@ from archivist.llm.packing import pack
 from archivist.llm.passage_dedup import without_repeats
 from archivist.llm.toxicity import clean
 
+#: Words that a worker remembers while packing; the stages before have left less room in it than a query of its own has.
+WORDS = 200_000
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces of all documents with their token ids and places in sequences (doc_id, start, length, ids_crc32,
@@ -22,7 +25,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end id alone. Rows without an id are packed as any other, repeated rows each for itself, very long texts
     whole. Columns may have any names. An empty table gives no rows."""
-    return pack(docs, with_ids=True)
+    return pack(docs, with_ids=True, memory=WORDS)
 
 
 STAGES = [

@@ -126,3 +126,21 @@ def test_patterns_hold_the_histogram():
             for length in pack:
                 got[length] += n
         assert got == h
+
+
+def test_ids_are_packed_without_a_shuffle(spark, monkeypatch):
+    """Ranks come from counts that are broadcast, or joined by a shuffle where there are many parts; a small memory of words gives the same ids."""
+    docs = dict(enumerate(TEXTS))
+    df = spark.createDataFrame([*docs.items()], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = packing.pack(df, with_ids=True, memory=3)
+        assert "BroadcastHashJoin [part#" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(packing, "PARTS", 0)
+        many = packing.pack(df, with_ids=True)
+        check_packed(few.collect(), docs)
+        check_packed(many.collect(), docs)
+        ids = lambda p: sorted((r.doc_id, r.start, r.ids) for r in p.collect())
+        assert ids(few) == ids(many)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
