@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from archivist.llm import packing, records
-from archivist.llm.encode import default_tokenizer, encoder
+from archivist.llm.encode import WordEncoder, default_tokenizer, encoder
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", None, "a b", " a  b ", "x<|endoftext|> <|endoftext|> y", "don't, can' t\x1c b", "日本 語　a  b", "\n a\n b", "word " * 3000]
@@ -29,6 +29,20 @@ def test_words_remembered_encode_as_the_library():
         assert np.frombuffer(got, e.dtype).tolist() == encode(t)
 
 
+def test_single_pieces_skip_the_pre_tokenizer():
+    """Words of letters, marks and line feeds are encoded by the BPE model, run by run, with the library's ids; the others by the library."""
+    rnd, e = random.Random(4), WordEncoder(default_tokenizer(), 3000)
+    texts = ["".join(rnd.choices("abcdeAEéÀɏ  \n.,!-_*<|>[]7'", k=rnd.randint(1, 60))) for _ in range(800)]
+    texts += ["x a<|endoftext|>.b <|endoftext|> endoftext", "a b\nc\nd. e\n.f g\n\nh ÿ÷ ×a", *("".join(rnd.choices("abé.\n", k=9)) for _ in range(200))]
+    for k in range(0, len(texts), 50):
+        for t, got in zip(texts[k : k + 50], e.encode(texts[k : k + 50]), strict=True):
+            assert np.frombuffer(got, e.dtype).tolist() == encode(t)
+    seen, whole = [], e.whole
+    e.whole = lambda t: seen.append(t) or whole(t)
+    e.encode(["start Zebrastripes, zebraé\nstripedé... don't 77 x<|endoftext|>"])
+    assert seen and not any("ebra" in t for t in seen)
+
+
 def test_crc32c():
     assert records.crc32c([b"123456789", b"", b"\0" * 32]).tolist() == [0xE3069283, 0, 0x8A9136AA]
     rnd = random.Random(1)
