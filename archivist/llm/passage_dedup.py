@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import fresh, partitions, stored, table
+from archivist.llm.common import fresh, gives_back, partitions, stored, table
 from archivist.llm.shingles import chunks, mix, powers
 from archivist.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
@@ -85,6 +85,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     texts = docs.withColumn("t", F.xxhash64("text"))
     buckets = max(8, 4 * docs.rdd.getNumPartitions())
 
+    @gives_back
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, t = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -103,6 +104,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 parts.append(pa.array([x.tobytes() for x in np.split(v, cut[1:])], pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(parts[0]), *parts[1:]], names=["bucket", "a", "c", "id", "t", "p"])
 
+    @gives_back
     def judge(p: pd.DataFrame) -> pd.DataFrame:
         kinds = {"a": np.uint32, "c": np.uint64, "id": np.int64, "t": np.int64, "p": np.uint32}
         a, c, i, t, place = (np.frombuffer(b"".join(p[k]), d) for k, d in kinds.items())
@@ -132,6 +134,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     base = texts.repartition(partitions(spark), "id", "t")
     asked = found.filter("shard >= 0").groupBy("id", "t").agg(F.collect_list(F.struct("shard", "p", "lead")).alias("asked"))  # a document's own anchors
 
+    @gives_back
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -146,6 +149,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     contexts = base.join(asked.hint("shuffle_hash"), ["id", "t"]).mapInPandas(cut, "shard long, id long, t long, lows binary, raw binary")
 
+    @gives_back
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         ids, t, lows = p["id"].to_numpy(), p["t"].to_numpy(), [np.frombuffer(x, np.int64) for x in p["lows"]]
         size = np.array([len(r) for r in p["raw"]], np.int64)
@@ -172,6 +176,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     gone = found.filter("shard < 0").select("id", "t", "p", F.lit(True).alias("whole")).unionByName(exact.withColumn("whole", F.lit(False)))
     gone = gone.groupBy("id", "t").agg(F.collect_list(F.struct("whole", "p")).alias("gone"))  # a document's own anchors and strings
 
+    @gives_back
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, sizes = [], []

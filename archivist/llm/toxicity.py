@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import fresh, stored, table
+from archivist.llm.common import fresh, gives_back, stored, table
 
 BUCKETS, SIZES = 1 << 19, (5, 7)
 SAMPLE, FEATURES, THRESHOLD = 16_000, 20_000, 0.7
@@ -97,6 +97,7 @@ def fit(sample: DataFrame, label: str) -> Model:
     spark = sample.sparkSession
     rows = sample.filter(F.col(label).isNotNull()).select("text", label)
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, every, n = np.zeros((2, BUCKETS), np.int32), np.arange(BUCKETS, dtype=np.int32), np.zeros(2, np.int64)
         for b in batches:
@@ -135,6 +136,7 @@ def fit(sample: DataFrame, label: str) -> Model:
     sent = spark.sparkContext.broadcast(_slots(keep))
     many = len(chosen)
 
+    @gives_back
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y, found = b.column(1), []

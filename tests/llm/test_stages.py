@@ -2,6 +2,7 @@
 
 from corpus_pipeline import packed
 
+from archivist.llm.common import gives_back
 from archivist.llm.mixing import mix_sources
 from archivist.llm.ngram_join import one_of_each
 from archivist.llm.passage_dedup import without_repeats
@@ -58,3 +59,19 @@ def test_sample_is_bounded_in_rows_and_labels_checked(spark):
     rows = labelled_sample(docs, labels, ["toxic"]).collect()
     assert sorted(((r.text, r.toxic) for r in rows), key=str) == sorted([("text 0", 1), ("text 1", None), ("text 16", 1), ("text 10", None), ("text 11", 0)], key=str)
     assert labelled_sample(docs, labels, ["toxic"], bound=2).count() == 2
+
+
+def test_a_worker_gives_free_memory_back():
+    def held():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    @gives_back
+    def run(batches):
+        for b in batches:
+            made = [bytes(2000) for _ in range(100_000)]
+            last.append(made[-1])  # on top of what is free, which stays with the process without a trim
+            del made
+            yield b
+
+    last, before = [], held()
+    assert list(run(iter([1, 2]))) == [1, 2] and held() - before < 50_000_000
