@@ -6,8 +6,8 @@ DivideSkip its shingles divide into the L = T - 1 with the longest inverted list
 1. Lists of the short ones are built by a shuffle on the shingle. How long a list is comes from counts over all documents, in a
    table of counters that grows with the input up to CELLS; any total order gives the same result. A list that the counters show to be
    long is salted, so that no task sorts it alone.
-2. Each query class heap-merges the members that its short lists offer it and counts how often each occurs (`_merged`). A member that
-   occurs less than T - L times, less the short lists that aren't at hand, can't be a partner.
+2. Each query class heap-merges the members that its short lists offer it (`_merged`). Where lists offer all their pairs, these are
+   counted (`_counted`): one that occurs less than T - L times, less the short lists that aren't at hand, can't link.
 3. The lists of the long shingles are never merged: a candidate is probed for them by binary search, in blocks, rarest first, until it
    reaches T or no longer can (`_probed`).
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from archivist.llm.common import ROWS_A_TASK, free, fresh, partitions, sized, stored, table
+from archivist.llm.common import ROWS_A_TASK, free, fresh, gives_back, partitions, sized, stored, table
 from archivist.llm.components import components
 from archivist.llm.shingles import mix, shingle_sets
 
@@ -49,6 +49,8 @@ PART = 2048
 SENT = 2_000_000
 #: Members of a list that are offered to each other at once; a list of more goes on to the hubs.
 WINDOW = 8
+#: Pairs that a task counts at once; it passes on what it has of more.
+COUNTED = 1 << 20
 #: Turns in which lists that lie in several components offer their members one hub, before they offer all their pairs.
 HUBS = 1
 BITS = [f"b{k}" for k in range(8)]
@@ -83,12 +85,6 @@ def _differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
 
 
-def _near(percent: int) -> F.Column:
-    """Whether bits `BITS` and those marked 2 differ in no more places than similar sets may."""
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in BITS), F.lit(0))
-    return differ * (100 + percent) <= (F.col("n") + F.col("n2")).cast("long") * (100 - percent)
-
-
 def _long(n: int, percent: int) -> int:
     """How many of n shingles have lists that are probed, not merged."""
     return -(-percent * n // 100) - 1
@@ -111,6 +107,7 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     shape = "id long, n long, cls long, " + ", ".join(f"{x} long" for x in BITS) + ", sketch binary, at long, counts binary"
     names = ["id", "n", "cls", *BITS, "sketch", "at", "counts"]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = np.zeros(cells, np.uint32), False
         for b in batches:
@@ -155,6 +152,7 @@ def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def _postings(docs: DataFrame, sent, words: int, percent: int) -> DataFrame:
     """(h, part, cls, n, pos) of the shingles with short lists, of each class once a task."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = sent.value, set()
         for b in batches:
@@ -185,11 +183,11 @@ def _fits(percent: int) -> F.Column:
     return rest * (100 + percent) >= (F.col("n") + F.col("n2")).cast("long") * percent
 
 
-def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) -> DataFrame:
-    """(a, b, n, n2) of the members b that occur often enough in the lists of a query a, of rows (h, cls, n, c2, n2): the members c2 that
-    list h offers cls. whole: the lists are all the short ones of both but for `spare` lists at most, so members that occur less than
-    T - L - spare times go. Members of a query are dealt to eight heaps, a task holds the lists of one at a time. few: one task is enough."""
+def _merged(offers: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """(a, b, n, n2) of the members b in the lists of a query a, of rows (h, cls, n, c2, n2): the members c2 that list h offers cls.
+    Members of a query are dealt to eight heaps, a task holds the lists of one at a time. few: one task is enough."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -197,19 +195,16 @@ def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) ->
             out = []
             cut = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
             for r in np.split(rows, cut[1:]):
-                n, sizes, spare = int(r[0, 3]), dict(zip(r[:, 4].tolist(), r[:, 5].tolist(), strict=True)), dict(zip(r[:, 4].tolist(), r[:, 6].tolist(), strict=True))
+                sizes = dict(zip(r[:, 4].tolist(), r[:, 5].tolist(), strict=True))
                 lists = np.split(r[:, 4], np.flatnonzero(r[1:, 2] != r[:-1, 2]) + 1)
-                for b, found in groupby(merge(*(x.tolist() for x in lists))):
-                    m = sizes[b]
-                    least = _needed(n, m, percent) - max(_long(n, percent), _long(m, percent)) - spare[b] if whole else 1
-                    if least <= 1 or sum(1 for _ in found) >= least:
-                        out.append((int(r[0, 0]), b, n, m))
+                for b, _ in groupby(merge(*(x.tolist() for x in lists))):
+                    out.append((int(r[0, 0]), b, int(r[0, 3]), sizes[b]))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "n", "n2"])
 
         for x in batches:
             if not x.num_rows:
                 continue
-            held.append(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], 1))
+            held.append(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], 1))
             last = held[-1][-1, :2]
             if (held[0][0, :2] != last).any():
                 rows = np.concatenate(held)
@@ -219,14 +214,89 @@ def _merged(offers: DataFrame, percent: int, whole: bool, few: bool = False) ->
         if held:
             yield done(np.concatenate(held))
 
-    rows = offers.filter("cls <> c2").select(F.greatest("cls", "c2").alias("a"), F.pmod(F.xxhash64(F.least("cls", "c2")), F.lit(8)).alias("heap"), "h", F.when(F.col("cls") > F.col("c2"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.least("cls", "c2").alias("b"), F.when(F.col("cls") > F.col("c2"), F.col("n2")).otherwise(F.col("n")).alias("n2"), (F.col("spare") if whole else F.lit(0)).alias("spare"))
+    rows = offers.filter("cls <> c2").select(F.greatest("cls", "c2").alias("a"), F.pmod(F.xxhash64(F.least("cls", "c2")), F.lit(8)).alias("heap"), "h", F.when(F.col("cls") > F.col("c2"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.least("cls", "c2").alias("b"), F.when(F.col("cls") > F.col("c2"), F.col("n2")).otherwise(F.col("n")).alias("n2"))
     rows = rows.coalesce(1) if few else rows.repartition(partitions(offers.sparkSession), "a", "heap")
     return rows.sortWithinPartitions("a", "heap", "h", "b").mapInArrow(run, "a long, b long, n int, n2 int")
 
 
+def _counted(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, n2) of the classes in different components that occur often enough in the same lists, of rows (h, cls, n, component, missing,
+    bits): T - L times, less the short lists of both that aren't at hand, `missing`. Pairs whose sizes or bits differ too much are left out.
+
+    Lists with the same smallest member mostly have the others in common too, so they go to one task, which counts a pair once for all of
+    them. A list of more than PART members is dealt to several: each has some of the members, and all to compare them with."""
+    w = Window.partitionBy("h")
+    rows = members.withColumns({"low": F.min("cls").over(w), "blocks": F.floor(F.count("*").over(w) / PART) + 1})
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.pmod(F.xxhash64("cls"), F.col("blocks")) == F.col("block"))
+    rows = rows.select("low", "block", "h", "cls", "n", "component", "missing", F.col("asks").cast("long"), *BITS)
+    names = ["a", "b", "n", "n2", "spare", "times"]
+
+    def pairs(x: np.ndarray) -> Iterator[np.ndarray]:
+        """(a, b, n, n2, spare) of the pairs that one list offers."""
+        cls, n, component, missing, bits = x[:, 3], x[:, 4], x[:, 5], x[:, 6], np.ascontiguousarray(x[:, 8:]).view(np.uint64)
+        asks = np.flatnonzero(x[:, 7])
+        for k in range(0, len(asks), step := max(1, CELLS[0] // len(x))):
+            q = asks[k : k + step]
+            i, j = np.nonzero((cls[q, None] > cls) & (component[q, None] != component) & (100 * np.minimum(n[q, None], n) >= percent * np.maximum(n[q, None], n)))
+            i = q[i]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            near = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            i, j = i[near], j[near]
+            yield np.stack([cls[i], cls[j], n[i], n[j], np.minimum(missing[i], missing[j])], 1)
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        found: list[np.ndarray] = []  # pairs and how often they occurred
+        many = 0
+
+        def told() -> np.ndarray:
+            x = np.concatenate(found)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            cut = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(1)]) if len(x) else np.empty(0, np.int64)
+            out = x[cut]
+            out[:, 5] = np.add.reduceat(x[:, 5], cut) if len(cut) else 0
+            return out
+
+        def listed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal many
+            for p in pairs(x):
+                found.append(np.c_[p, np.ones(len(p), np.int64)])
+                many += len(p)
+                if many > COUNTED:
+                    yield given()
+                    many = 0
+
+        def given() -> pa.RecordBatch:
+            x = told()
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in x.T.copy()], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.concatenate([*held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)])
+            cut = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(1)) + 1
+            *ended, last = np.split(x, cut)
+            for e in ended:
+                yield from listed(e)
+            held = [last]
+        for e in held:
+            yield from listed(e)
+        if found:
+            yield given()
+
+    dealt = rows.repartition(partitions(members.sparkSession), "low", "block").sortWithinPartitions("low", "block", "h")
+    each = dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names)).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("spare").alias("spare"), F.sum("times").alias("times"))
+    need = F.floor((percent * (F.col("n") + F.col("n2")) + 99 + percent) / (100 + percent))
+    least = need - F.floor((percent * F.greatest("n", "n2") + 99) / 100) + 1 - F.col("spare")
+    return each.filter(F.col("times") >= least).select("a", "b", F.col("n").cast("int").alias("n"), F.col("n2").cast("int").alias("n2"))
+
+
 def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs (a, b, n, n2) whose sketches differ in no more bits than similar sets may, stored."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             n, m, s, t = (x.column(k).to_pylist() for k in range(2, 6))
@@ -249,6 +319,7 @@ def _probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs (a, b) that share T shingles. Those of the smaller set are probed in the other by binary search, the ones with short
     lists first, in blocks, until T is reached or out of reach."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             good = []
@@ -292,12 +363,10 @@ def _spread(lists: DataFrame, tried: DataFrame, groups: DataFrame, bits: DataFra
             hub = each.groupBy("h").agg(F.max(F.struct("size", "hub", "component")).alias("first"))
             offers = at.join(hub, "h").filter("component <> first.component").select("h", "cls", "n", "pos", *(F.col(f"first.hub.{x}").alias(y) for x, y in (("cls", "c2"), ("n", "n2"), ("pos", "pos2"))))
             offers = offers.filter(_fits(percent))
+            found = _merged(offers, percent, at.count() <= ROWS_A_TASK)
         else:  # all that a pair shares is counted here, so places alone must not drop an offer
-            at_last = at.join(missing, "cls")
-            left, right = at_last.select("h", "cls", "n", "component", "missing").join(bits.drop("sketch"), "cls"), at_last.select("h", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("m2"), F.col("missing").alias("missing2"))
-            right = right.join(bits.select(F.col("cls").alias("c2"), *(F.col(x).alias(f"{x}_2") for x in BITS)), "c2")
-            offers = left.join(right, "h").filter("component <> m2 and cls < c2").filter(_near(percent)).withColumn("spare", F.least("missing", "missing2"))
-        pairs = _likely(_merged(offers, percent, turn == hubs, turn < hubs and at.count() <= ROWS_A_TASK).join(tried, ["a", "b"], "left_anti"), bits, percent)
+            found = _counted(at.join(missing, "cls").join(bits.drop("sketch"), "cls"), percent)
+        pairs = _likely(found.join(tried, ["a", "b"], "left_anti"), bits, percent)
         if pairs.isEmpty():
             free(pairs)
             continue
@@ -335,7 +404,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lists = stored(lists.withColumn("offers", F.filter("offers", rest)).filter(F.col("long") | (F.size("offers") > 0)))
 
     # candidates, linked by their bits
-    first = _likely(_merged(lists.select("h", "cls", "n", F.inline("offers")), percent, False), bits, percent)
+    first = _likely(_merged(lists.select("h", "cls", "n", F.inline("offers")), percent), bits, percent)
     groups = components(first).withColumnRenamed("id", "cls")
     lists_left = lists.filter("long").select("h", "cls", "n", "pos")
     tried, _ = _spread(lists_left, first, groups, bits, percent, 0, None)
@@ -345,6 +414,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = stored(tried.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("id"), F.col("cls").alias("of"), "copies"))
     few = wanted.count() <= SENT
 
+    @gives_back
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_bytes(b, 1), words)

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from archivist.llm import ngram_join as ng
 from archivist.llm.ngram_join import op10_ngram_join, similar_documents
 from archivist.llm.shingles import shingle_sets
 
@@ -122,3 +125,33 @@ def test_adversarial_lists(spark):
                 root[y] = x
     df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in similar_documents(df, words=1).collect()} == {k: find(k) for k in docs}
+
+
+def test_pairs_of_many_lists_are_counted_in_one_task(spark, monkeypatch):
+    """The last step makes a row for a pair, not for each list that both are in, and the same pairs as loops over lists do."""
+    rnd = np.random.default_rng(8)
+    cls = [int(x) for x in rnd.integers(-(2**62), 2**62, 40)]
+    n = {c: int(rnd.integers(90, 130)) for c in cls}
+    bits = {c: rnd.integers(-(2**63), 2**63 - 1, 8) for c in cls}
+    for c in cls[1::2]:
+        bits[c] = bits[cls[0]] ^ np.int64(rnd.integers(0, 2))
+    bits[cls[0]][0] = -1
+    component, missing = {c: int(c % 9) for c in cls}, {c: int(rnd.integers(0, 3)) for c in cls}
+    lists = {h: [c for c in cls if rnd.random() < (0.9 if cls.index(c) % 4 else 0.2)] for h in range(30)}
+    times = {}
+    for members in lists.values():
+        for a in members:
+            for b in members:
+                differ = sum(int(np.bitwise_count(np.uint64(int(x) % 2**64) ^ np.uint64(int(y) % 2**64))) for x, y in zip(bits[a], bits[b]))
+                if a > b and component[a] != component[b] and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]) and 175 * differ <= 25 * (n[a] + n[b]):
+                    times[a, b] = times.get((a, b), 0) + 1
+    want = {(a, b, n[a], n[b]) for (a, b), k in times.items() if k >= ng._needed(n[a], n[b], 75) - max(ng._long(n[a], 75), ng._long(n[b], 75)) - min(missing[a], missing[b])}
+    rows = [(h, c, n[c], component[c], missing[c], *map(int, bits[c])) for h, members in lists.items() for c in members]
+    df = spark.createDataFrame(rows, "h long, cls long, n int, component long, missing long, " + ", ".join(f"{b} long" for b in ng.BITS))
+    assert 0 < len(want) < len(times)
+    for part, counted in ((2048, 1 << 20), (7, 1 << 20), (7, 50)):  # whole lists, lists dealt to several tasks, counts passed on early
+        monkeypatch.setattr(ng, "PART", part)
+        monkeypatch.setattr(ng, "COUNTED", counted)
+        out = ng._counted(df, 75)
+        assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert "Join" not in out._jdf.queryExecution().toString()
