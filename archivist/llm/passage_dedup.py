@@ -11,7 +11,7 @@ bytes have equal anchors, so anchors bring together all places where a repeat ca
    prefixes of 50 bytes and more show which strings an earlier document has, to the byte.
 4. The spans are cut from each text.
 
-Both joins with the texts use one shuffle of them. The buckets grow with the partitions of the input.
+Both joins with the texts use one shuffle of them, which brings along the rows' other columns where they are wanted. The buckets grow with the partitions of the input.
 Strings are judged on the input, not on what is left, and never cross documents.
 
 Nulls count as empty texts. Rows without an id are kept whole and remove nothing. Rows of one id are
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm.common import fresh, gives_back, partitions, stored, table
+from archivist.llm.common import gives_back, partitions, stored, table
 from archivist.llm.shingles import chunks, mix, powers
 from archivist.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
@@ -78,8 +78,9 @@ def _pack(rows: pd.DataFrame, by: list[str], columns: list[str]) -> pd.DataFrame
     return pd.DataFrame(out)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, t, text, n_bytes, spans): each row of (id, text) and the removed spans, packed pairs of start and end."""
+def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each row of (id, text, and what else there is) with a hash t of its text and what is gone from it: packed places of strings, or of anchors
+    whose whole context is gone. Null where nothing is."""
     spark = docs.sparkSession
     width = length - gram + 1
     texts = docs.withColumn("t", F.xxhash64("text"))
@@ -128,26 +129,30 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         return pd.concat(out)
 
     shape = "bucket long, a binary, c binary, id long, t long, p binary"
-    packed = texts.filter("id is not null").select("id", "t", "text").mapInArrow(find, shape.replace("id long, t long", "id binary, t binary"))
+    known = texts.filter("id is not null")
+    packed = known.select("id", "t", "text").mapInArrow(find, shape.replace("id long, t long", "id binary, t binary"))
     found = stored(packed.groupBy("bucket").applyInPandas(judge, "id long, t long, shard long, p binary, lead binary"))
 
-    base = texts.repartition(partitions(spark), "id", "t")
+    base = known.repartition(partitions(spark), "id", "t")
     asked = found.filter("shard >= 0").groupBy("id", "t").agg(F.collect_list(F.struct("shard", "p", "lead")).alias("asked"))  # a document's own anchors
 
     @gives_back
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t, text, asked in zip(b["id"], b["t"], b["text"], b["asked"], strict=True):
+            for i, t, text, asked in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text", "asked")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for s in asked:
                     p = np.frombuffer(s["p"], np.uint32).astype(np.int64)
                     for g in np.split(p, np.flatnonzero(np.frombuffer(s["lead"], np.uint8))[1:]):
                         lows = np.maximum(0, g - width + 1)
                         rows.append((s["shard"], i, t, lows.tobytes(), raw[lows[0] : g[0] + length]))
-            yield pd.DataFrame(rows, columns=["shard", "id", "t", "lows", "raw"])
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "id", "t", "lows", "raw"])
 
-    contexts = base.join(asked.hint("shuffle_hash"), ["id", "t"]).mapInPandas(cut, "shard long, id long, t long, lows binary, raw binary")
+    # all columns are read here too, else this would be a shuffle of its own
+    contexts = base.join(asked.hint("shuffle_hash"), ["id", "t"]).mapInArrow(cut, "shard long, id long, t long, lows binary, raw binary")
 
     @gives_back
     def compare(p: pd.DataFrame) -> pd.DataFrame:
@@ -176,47 +181,41 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     gone = found.filter("shard < 0").select("id", "t", "p", F.lit(True).alias("whole")).unionByName(exact.withColumn("whole", F.lit(False)))
     gone = gone.groupBy("id", "t").agg(F.collect_list(F.struct("whole", "p")).alias("gone"))  # a document's own anchors and strings
 
-    @gives_back
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, sizes = [], []
-            for text, gone in zip(b["text"], b["gone"], strict=True):
-                n = len((text or "").encode("utf-8", "surrogatepass"))
-                step = np.zeros(n + 1, np.int64)
-                for g in gone if gone is not None else ():
-                    p = np.frombuffer(g["p"], np.uint32).astype(np.int64)
-                    np.add.at(step, np.maximum(0, p - width + 1) if g["whole"] else p, 1)
-                    np.add.at(step, np.minimum(n, p + length), -1)
-                edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(step) > 0, False].astype(np.int8)))
-                out.append(edge.astype(np.int64).tobytes())
-                sizes.append(n)
-            yield b[["id", "t", "text"]].assign(n_bytes=sizes, spans=out)
+    found = base.join(gone.hint("shuffle_hash"), ["id", "t"], "left")
+    return found.unionByName(texts.filter("id is null").withColumn("gone", F.lit(None).cast(found.schema["gone"].dataType)))
 
-    return base.join(gone.hint("shuffle_hash"), ["id", "t"], "left").select("id", "t", "text", "gone").mapInPandas(spans, "id long, t long, text string, n_bytes long, spans binary")
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+def _cut(text: str, gone: list | None, length: int, gram: int) -> tuple[bytes, bytes, int]:
+    """(bytes of the text, those that are left, removed runs)"""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if gone is None:
+        return raw, raw, 0
+    n = len(raw)
+    step = np.zeros(n + 1, np.int64)
+    for g in gone:
+        p = np.frombuffer(g["p"], np.uint32).astype(np.int64)
+        np.add.at(step, np.maximum(0, p - (length - gram)) if g["whole"] else p, 1)
+        np.add.at(step, np.minimum(n, p + length), -1)
+    edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(step) > 0, False].astype(np.int8))).tolist()
+    bounds = [0, *edge, n]
+    return raw, b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)), len(edge) // 2
 
-def _kept(text: str, spans: bytes) -> tuple[bytes, int, int]:
-    raw, e = (text or "").encode("utf-8", "surrogatepass"), np.frombuffer(spans, np.int64)
-    bounds = [0, *e.tolist(), len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)), int((e[1::2] - e[::2]).sum()), len(e) // 2
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """id, text (what is left; characters cut in two go), n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left)."""
 
-def _removed(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [_kept(t, s) for t, s in zip(b["text"], b["spans"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "t": b["t"], "text": [k.decode("utf-8", "ignore") for k, _, _ in got], "n_bytes": b["n_bytes"], "n_removed": [n for _, n, _ in got], "n_spans": [n for _, _, n in got], "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in got]})
+            got = [_cut(x, g, length, gram) for x, g in zip(b["text"], b["gone"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "text": [k.decode("utf-8", "ignore") for _, k, _ in got], "n_bytes": [len(r) for r, _, _ in got], "n_removed": [len(r) - len(k) for r, k, _ in got], "n_spans": [n for _, _, n in got], "kept_sha256": [hashlib.sha256(k).hexdigest() for _, k, _ in got]})
 
-    return repeats(rows, length, gram).mapInPandas(run, "id long, t long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id, text (what is left; characters cut in two go), n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left)."""
-    return _removed(_rows(docs, id_col, text_col), length, gram).drop("t").withColumnsRenamed({"id": id_col, "text": text_col})
+    found = repeats(_rows(docs, id_col, text_col), length, gram).select("id", "text", "gone")
+    return found.mapInPandas(run, "id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,13 +227,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id keep their text; a null text becomes an empty one. Rows of one id are told apart by their texts, and equal rows
     are cut alike; a text of nothing but repeats becomes empty and stays. Very long texts are cut whole. Columns may have any names. An empty table stays empty."""
-    i, t, left = fresh(docs, "_id", "_t", "_left")
-    cut = _removed(_rows(docs, "doc_id", "text"), LENGTH, GRAM).filter("n_removed > 0").select(F.col("id").alias(i), F.col("t").alias(t), F.col("text").alias(left)).dropDuplicates([i, t])
-    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    joined = docs.join(cut, (docs["doc_id"].cast("long") == F.col(i)) & (own == F.col(t)), "left")
-    text = F.coalesce(F.col(left), docs["text"].cast("string"), F.lit(""))
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return joined.withColumns(new).select(*docs.columns)
+
+    @gives_back
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, gone in batches:
+            yield pd.Series([_cut(x, g, LENGTH, GRAM)[1].decode("utf-8", "ignore") for x, g in zip(text, gone, strict=True)], dtype=object)
+
+    others = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c.lower() != "text" and c != "n_chars"}
+    left = F.pandas_udf(run, "string")("text", "gone").alias("text")
+    cut = repeats(_rows(docs, "doc_id", "text", *[F.col(c).alias(k) for c, k in others.items()]), LENGTH, GRAM).select(*others.values(), left)
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return cut.select(*[(F.col(others[c]) if c in others else F.col("text") if c.lower() == "text" else chars).alias(c) for c in docs.columns])
 
 
 QUERIES = {"op8_passage_dedup": op8_passage_dedup}

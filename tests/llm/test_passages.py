@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from archivist.llm import suffix_arrays
-from archivist.llm.passage_dedup import op8_passage_dedup, remove_repeats
+from archivist.llm.passage_dedup import op8_passage_dedup, remove_repeats, without_repeats
 
 
 def test_suffix_arrays():
@@ -74,3 +74,14 @@ def test_odd_rows(spark):
     assert len(got) == len(data)
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 60000, 0), (1, 0, 0), (2, 0, 0), (3, 49, 0), (4, 49, 0), (5, 60000, 0), (6, 60000, 60000), (6, 60000, 60000), (7, 80, 0), (8, 81, 80)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (op8_passage_dedup(spark, sf), without_repeats(spark, docs, sf)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len([x for x in shuffles if "ReusedExchange" in x]) == 1
+        assert len(shuffles) == 5  # with the reused one: texts, anchors asked for, contexts, what is gone
