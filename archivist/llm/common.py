@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
-from inspect import isgeneratorfunction
+from inspect import isgeneratorfunction, signature
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def gives_back(run: Callable) -> Callable:
-    """A function of mapInArrow or applyInPandas after which a Python worker, which Spark keeps for later tasks, returns the memory that is free in it."""
+    """A function of mapInArrow, or of one group or two, after which a Python worker, which Spark keeps for later tasks, returns the memory that is free in it."""
 
     def trim() -> None:
         pa.default_memory_pool().release_unused()
@@ -62,7 +62,14 @@ def gives_back(run: Callable) -> Callable:
         finally:
             trim()
 
-    return mapped if isgeneratorfunction(run) else grouped
+    @wraps(run)
+    def cogrouped(left, right):
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return mapped if isgeneratorfunction(run) else cogrouped if len(signature(run).parameters) == 2 else grouped
 
 
 @contextmanager

@@ -14,10 +14,9 @@ import numpy as np
 MANY = 2000
 
 
-def _groups(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order by key, starts of each key in it)"""
-    order = np.argsort(keys.astype(np.uint16) if top < 1 << 16 else keys, kind="stable")
-    return order, np.searchsorted(keys[order], np.arange(top + 2))
+def _starts(t: np.ndarray, top: int) -> np.ndarray:
+    """Where each symbol's suffixes begin in the array, and its end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(t, minlength=top + 1))])
 
 
 def _induce(t: np.ndarray, is_l: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -25,24 +24,22 @@ def _induce(t: np.ndarray, is_l: np.ndarray, starts: np.ndarray, seeds: np.ndarr
     n, top = len(t), len(starts) - 2
     sa = np.full(n, -1, np.int64)
     head, tail = starts[:-1].copy(), starts[1:].copy()
-    seed_start = np.searchsorted(t[seeds], np.arange(top + 2))
+    seed_start = np.searchsorted(t[seeds], np.arange(top + 2, dtype=np.int64))
     used = np.flatnonzero(starts[1:] > starts[:-1]).tolist()
 
-    def put(j: np.ndarray, forward: bool) -> np.ndarray:
+    def put(j: np.ndarray, forward: bool) -> None:
         """Append suffixes to the heads (or tails, in falling order) of their buckets."""
         c = t[j]
-        order = np.argsort(c.astype(np.uint16) if top < 1 << 16 else c, kind="stable")
+        order = np.argsort(c, kind="stable")
         c, j = c[order], j[order]
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        size = np.diff(np.r_[first, len(c)])
-        rank = np.arange(len(c)) - np.repeat(first, size)
+        sizes = np.bincount(c, minlength=top + 1)
+        before = np.cumsum(sizes) - sizes
         if forward:
-            sa[head[c] + rank] = j
-            head[c[first]] += size
+            sa[(head - before)[c] + np.arange(len(c))] = j
+            np.add(head, sizes, out=head)
         else:
-            sa[tail[c] - 1 - rank] = j
-            tail[c[first]] -= size
-        return j
+            sa[(tail + before - 1)[c] - np.arange(len(c))] = j
+            np.subtract(tail, sizes, out=tail)
 
     if is_l[n - 1]:  # the last suffix follows the end of the text
         put(np.array([n - 1]), True)
@@ -78,8 +75,8 @@ def _induce(t: np.ndarray, is_l: np.ndarray, starts: np.ndarray, seeds: np.ndarr
 def _doubled(t: np.ndarray) -> np.ndarray:
     """The same for a string of many symbols, most of them rare: ranks by ever longer prefixes, of suffixes still tied only."""
     n = len(t)
-    rank = np.searchsorted(np.sort(t), t)
-    order = np.argsort(rank, kind="stable")
+    rank = _starts(t, int(t.max()))[t]
+    order = np.argsort(rank)
     r = rank[order]
     tied = np.zeros(n, bool)
     tied[1:] = r[1:] == r[:-1]
@@ -87,7 +84,7 @@ def _doubled(t: np.ndarray) -> np.ndarray:
     on, k = order[tied], 1
     while len(on):
         after = np.where(on + k < n, rank[np.minimum(on + k, n - 1)], -1)
-        o = np.lexsort((after, rank[on]))
+        o = np.argsort(rank[on] * (n + 1) + after)
         on, after = on[o], after[o]
         r = rank[on]
         group = np.r_[True, r[1:] != r[:-1]]
@@ -109,20 +106,15 @@ def suffix_array(t: np.ndarray, top: int = 255) -> np.ndarray:
     n = len(t)
     if n <= 1:
         return np.arange(n)
-    t = t.astype(np.int64)
+    t = t.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64)
     # a suffix is L if the next different character is smaller, or the text ends before one comes
     change = np.flatnonzero(t[1:] != t[:-1])
-    following = np.searchsorted(change, np.arange(n))
-    is_l = np.ones(n, bool)
-    inside = following < len(change)
-    c = change[following[inside]]
-    is_l[inside] = t[c] > t[c + 1]
-    lms = np.flatnonzero(~is_l & np.r_[False, is_l[:-1]])
-    starts = np.searchsorted(np.sort(t, kind="stable"), np.arange(top + 2))
+    is_l = np.repeat(np.append(t[change] > t[change + 1], True), np.diff(np.concatenate([[-1], change, [n - 1]])))
+    lms = np.flatnonzero(~is_l[1:] & is_l[:-1]) + 1
+    starts = _starts(t, top)
     if not len(lms):
         return _induce(t, is_l, starts, lms)
-    order, _ = _groups(t[lms], top)
-    sa = _induce(t, is_l, starts, lms[order])
+    sa = _induce(t, is_l, starts, lms[np.argsort(t[lms], kind="stable")])
     mark = np.zeros(n, bool)
     mark[lms] = True
     # LMS suffixes whose substrings are sorted: the S suffixes at LMS places, as induced
@@ -151,17 +143,20 @@ def suffix_array(t: np.ndarray, top: int = 255) -> np.ndarray:
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """In text order: (common prefix, up to `most`, of each suffix and the one before it in the array; that one's start or -1)."""
+    """In text order: (common prefix, up to `most`, of each suffix of the bytes t and the one before it in the array; that one's start or -1).
+    An array of some of the suffixes will do; the others have a prefix of 0 and no start. Eight bytes are compared at a time."""
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.r_[t.astype(np.int64) + 1, np.zeros(most, np.int64)]
+    padded = np.zeros(n + most + 8, np.uint8)
+    padded[:n] = t
+    words = np.ndarray(n + most + 1, "<u8", padded, strides=(1,))
     lcp = np.zeros(n, np.int64)
     on = np.flatnonzero(before >= 0)
-    d = 0
-    while len(on) and d < most:
-        same = (padded[on + d] == padded[before[on] + d]) & (padded[on + d] > 0)
-        on = on[same]
-        d += 1
-        lcp[on] = d
-    return lcp, before
+    for d in range(0, most, 8):
+        differ = words[on + d] ^ words[before[on] + d]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
+        lcp[on] = d + np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 3)
+        on = on[differ == 0]
+    np.minimum(lcp, most, out=lcp)
+    return np.where(before >= 0, np.minimum(lcp, n - np.maximum(np.arange(n), before)), 0), before

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from archivist.llm import suffix_arrays
+from archivist.llm import passage_dedup, suffix_arrays
 from archivist.llm.passage_dedup import op8_passage_dedup, remove_repeats, without_repeats
 
 
@@ -85,3 +85,49 @@ def test_texts_are_shuffled_once(spark):
         shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
         assert len([x for x in shuffles if "ReusedExchange" in x]) == 1
         assert len(shuffles) == 5  # with the reused one: texts, anchors asked for, contexts, what is gone
+
+
+def test_rows_grow_with_blocks_not_with_anchors(spark, monkeypatch):
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choices("abcdefgh ", k=120)) for _ in range(300)]
+    docs = {i: "\n".join(x[rnd.randrange(40) :] for x in rnd.sample(lines, 30)) for i in range(600)}
+    df = spark.createDataFrame([*docs.items()], "doc_id long, text string").coalesce(1)
+    counts, keep = [], passage_dedup.stored
+    monkeypatch.setattr(passage_dedup, "stored", lambda step: counts.append((out := keep(step)).count()) or out)
+    assert rows(remove_repeats(df)) == brute(docs)
+    assert counts == [2 * 8 * 32]  # removed and asked for, of 8 buckets, for 32 groups of texts
+
+
+def test_contexts_hold_each_string_once():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("ab", k=n)).encode() for n in (0, 49, 50, 51, 700, 3000)] + [b"x" * 300, b"abc" * 200]
+    strings = [(int(d), int(x) + k) for doc, low, many, _, _ in passage_dedup.anchors(texts, 50, 26) for d, x, n in zip(doc, low, many, strict=True) for k in range(n)]
+    assert sorted(strings) == [(d, k) for d, x in enumerate(texts) for k in range(len(x) - 49)]
+
+
+def test_other_columns_of_many_types(spark):
+    passage = "a passage of more than fifty bytes that two of the texts hold "
+    df = spark.createDataFrame([(1, passage + "one"), (2, "two " + passage), (None, passage)], "doc_id long, text string").selectExpr(
+        "*", "timestamp '2024-05-06 07:08:09.123456' AS a", "timestamp_ntz '2024-05-06 07:08:09' AS b", "date '1890-01-02' AS c", "array(named_struct('x', timestamp '2000-01-01 00:00:00', 'y', NULL)) AS d", "map('k', 1.25BD) AS e", "binary('z') AS f", "interval '3' day AS g", "cast(NULL AS string) AS h", "true AS `text `"
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            out = without_repeats(spark, df, "")
+            assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+            others = [c for c in df.columns if c != "text"]
+            assert sorted(map(str, out.select(*[f"`{c}`" for c in others]).collect())) == sorted(map(str, df.select(*[f"`{c}`" for c in others]).collect()))
+            assert {r.doc_id: len(r.text) for r in out.collect()} == {1: 65, 2: 4, None: 62}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    rnd = random.Random(5)
+    long = "".join(rnd.choices("abcdefgh ", k=900))
+    data = [(4, long), (4, long), (4, long[:500]), (7, long[100:]), (7, "x" + long[400:800]), (9, long)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for length, gram in ((50, 26), (300, 26), (20, 20)):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(df, length=length, gram=gram).collect())
+        assert got == sorted([(4, 900, 0, 0), (4, 900, 0, 0), (4, 500, 0, 0), (7, 800, 800, 1), (7, 401, 400, 1), (9, 900, 900, 1)])
